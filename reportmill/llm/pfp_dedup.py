@@ -43,14 +43,14 @@ def suffix_ranks(units: np.ndarray, starts: np.ndarray, window: int) -> np.ndarr
     return rank[starts]
 
 
-def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = 32, texts: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = 32, texts: bool = True, hot: int = 20_000) -> DataFrame:
     """Per row of docs(doc_id, text): its UTF-8 bytes, those removed and in how many runs, and the remaining bytes.
 
     A byte goes if it is covered by a `window`-byte string that also starts earlier: in a document with a smaller
     doc_id, or earlier in the same one. A null text is empty; rows without doc_id come after all others; rows that
     repeat a doc_id with the same text have equal results. Other columns are ignored. texts=False leaves kept null.
     """
-    rule = Rule("byte", window, min(gram, window), True, suffix_ranks)
+    rule = Rule("byte", window, min(gram, window), True, suffix_ranks, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):

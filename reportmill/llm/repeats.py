@@ -7,7 +7,7 @@
    is found; all windows of its later occurrences are repeats. A map task first combines its own phrases, so a
    phrase that a third of all documents share reaches a bucket once a task.
 3. Different phrases with one trigger may share some windows. Their first occurrences send their text to the bucket,
-   which compares window by window. A trigger with very many different phrases (HOT) is compared by window hashes
+   which compares window by window. A trigger with very many different phrases (Rule.hot) is compared by window hashes
    dealt out by window instead, with the same result, so that no bucket holds a hot trigger whole.
 
 Decisions are rows (ord, v): v holds a phrase's number in its document (plus the text's checksum, so that rows that
@@ -35,20 +35,21 @@ DECISION = np.dtype([("d", "<i8"), ("v", "<i8")])
 HEAD = np.dtype([("d", "<i8"), ("s", "<u8"), ("r", "<u4"), ("n", "<u4")])
 WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("d", "<i8"), ("s", "<u8"), ("r", "<u4"), ("o", "<u4")])
 FULL, BY_TEXT, BY_WINDOW = 0xFFFF, 0xFFFF0000, 0xFFFF0001
-HOT = 20_000
 DECISIONS = "ord long, v long"
 
 
 @dataclass(frozen=True)
 class Rule:
     """unit: 'word' or 'byte'. within: an earlier place in the same document counts too.
-    classes(units, starts, window) numbers the windows at the starts so that equal ones have equal numbers."""
+    classes(units, starts, window) numbers the windows at the starts so that equal ones have equal numbers.
+    hot: a trigger with more different phrases is compared by window hashes."""
 
     unit: str
     window: int
     gram: int
     within: bool
     classes: Callable[[np.ndarray, np.ndarray, int], np.ndarray]
+    hot: int = 20_000
 
 
 def units(rule: Rule, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -200,7 +201,7 @@ def at_triggers(rule: Rule) -> Callable:
             number = np.cumsum(trigger) - 1
             different = np.bincount(number[new], minlength=number[-1] + 1)[number]
             ask = ~repeat & (different > 1)
-            how = np.where(different[ask] > HOT, BY_WINDOW, BY_TEXT)
+            how = np.where(different[ask] > rule.hot, BY_WINDOW, BY_TEXT)
             yield decisions(np.unique(vote(e["d"][ask], e["r"][ask], how)))
 
     return run
@@ -255,7 +256,8 @@ def to_compare(rule: Rule, buckets: int) -> Callable:
                 x, repeat = seen_before(rule, x, np.lexsort((x["s"], x["d"], x["h2"], x["h1"])), ("h1", "h2"))
                 done = ranges(x["d"][repeat], x["r"][repeat], x["o"][repeat])
                 by_bucket(done["d"] % buckets, done, 1, out)
-                by_bucket((x["h1"] >> U64(20)) % U64(buckets), x[~repeat], 2, out)
+                x = x[~repeat]
+                by_bucket((x["h1"] >> U64(20)) % U64(buckets), x, 2, out)
             yield routed(out)
 
     return run

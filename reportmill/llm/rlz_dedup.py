@@ -28,7 +28,7 @@ def window_index(words: np.ndarray, starts: np.ndarray, window: int) -> np.ndarr
     return np.unique(h, return_inverse=True)[1]
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5, texts: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5, texts: bool = True, hot: int = 20_000) -> DataFrame:
     """Per row of docs(doc_id, text): its words, those removed, the kept words joined by one space, and the removed spans.
 
     A word goes if it is covered by `window` consecutive words of its document that also start in a document with a
@@ -36,7 +36,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5, texts: boo
     one document, none earlier than the other, so repeated rows have equal results. Other columns are ignored.
     texts=False leaves kept and spans null.
     """
-    rule = Rule("word", window, min(gram, window), False, window_index)
+    rule = Rule("word", window, min(gram, window), False, window_index, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
