@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, vafile
 from .common import table
+from .mixing import mix_sources
 from .pfp_dedup import suffix_dedup
 from .rlz_dedup import substring_dedup
+from .vafile import top_k
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,4 +20,13 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op8_suffix_dedup)}
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op5_mix_sources, op8_suffix_dedup, op10_exact_top_k)}
+ORACLES = {"op5_mix_sources": mixing.SQL, "op10_exact_top_k": vafile.SQL}
