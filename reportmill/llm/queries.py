@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, vafile
-from .common import table
+from . import mixing, vafile, warc
+from .common import shared_dir, table
 from .mixing import mix_sources
+from .packing import pack
 from .pfp_dedup import suffix_dedup
 from .rlz_dedup import substring_dedup
 from .vafile import top_k
@@ -28,5 +32,18 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op5_mix_sources, op8_suffix_dedup, op10_exact_top_k)}
-ORACLES = {"op5_mix_sources": mixing.SQL, "op10_exact_top_k": vafile.SQL}
+def op2_warc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.archive_pages(table(spark, sf_dir, "pages"), path)
+    return warc.read_pages(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), ids=False).drop("ids")
+
+
+QUERIES = {
+    f.__name__: f for f in (op2_warc_pages, op3_substring_dedup, op5_mix_sources, op8_suffix_dedup, op9_pack_sequences, op10_exact_top_k)
+}
+ORACLES = {"op2_warc_pages": warc.SQL, "op5_mix_sources": mixing.SQL, "op10_exact_top_k": vafile.SQL}
