@@ -6,9 +6,12 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import mixing, vafile, warc
 from .common import shared_dir, table
+from .ctph import fingerprint_documents
+from .langid import held_out, identify
 from .mixing import mix_sources
 from .packing import pack
 from .pfp_dedup import suffix_dedup
@@ -43,7 +46,19 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), ids=False).drop("ids")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = identify(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    f.__name__: f for f in (op2_warc_pages, op3_substring_dedup, op5_mix_sources, op8_suffix_dedup, op9_pack_sequences, op10_exact_top_k)
-}
+    f.__name__: f
+    for f in (
+        op2_warc_pages, op3_substring_dedup, op4_language_id, op5_mix_sources, op6_fingerprints, op8_suffix_dedup, op9_pack_sequences, op10_exact_top_k,
+    )
+}
 ORACLES = {"op2_warc_pages": warc.SQL, "op5_mix_sources": mixing.SQL, "op10_exact_top_k": vafile.SQL}
