@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import mixing, vafile, warc
 from .common import shared_dir, table
 from .ctph import fingerprint_documents
+from .dartminhash import near_duplicates
 from .langid import held_out, identify
 from .mixing import mix_sources
 from .packing import pack
@@ -35,6 +36,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.archive_pages(table(spark, sf_dir, "pages"), path)
@@ -58,7 +63,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_warc_pages, op3_substring_dedup, op4_language_id, op5_mix_sources, op6_fingerprints, op8_suffix_dedup, op9_pack_sequences, op10_exact_top_k,
+        op1_near_duplicates, op2_warc_pages, op3_substring_dedup, op4_language_id, op5_mix_sources, op6_fingerprints, op8_suffix_dedup, op9_pack_sequences, op10_exact_top_k,
     )
 }
 ORACLES = {"op2_warc_pages": warc.SQL, "op5_mix_sources": mixing.SQL, "op10_exact_top_k": vafile.SQL}
