@@ -14,7 +14,7 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, mix, order_key, prefix_sums, slices, span_hash, utf8, word_hashes, words, written
@@ -131,8 +131,8 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return out.withColumn("similarity", F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 32, band_rows: int = 4, centres: int = 8) -> DataFrame:
-    """doc_id, class_id, group_id, group_size of each row of docs(doc_id, text).
+def placed_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 32, band_rows: int = 4, centres: int = 8) -> DataFrame:
+    """ord, doc_id, class_id, group_id of each row of docs(doc_id, text).
 
     class_id: the smallest doc_id with the same words in the same order. group_id: the smallest doc_id of the connected
     group of classes linked by a similarity of `threshold` or more. Both are places in the order of doc_id: for rows
@@ -152,9 +152,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
     sets = written(element_sets(docs.join(members.select(F.col("node").alias("ord")).distinct(), "ord", "left_semi").dropDuplicates(["ord"]).select("ord", "text"), size), "sets")
 
     groups = linked_groups(members, lambda pairs: similar(pairs, sets, threshold), centres)
-    out = marks.select("doc_id", "c1", "c2", wordless.alias("alone"))
+    out = marks.select("ord", "doc_id", "c1", "c2", wordless.alias("alone"))
     class_of = classes.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("alone").alias("single"), "node")
     out = out.join(class_of, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")) & F.col("alone").eqNullSafe(F.col("single")))
-    out = out.join(groups, "node", "left").select("doc_id", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("group_id"))
+    out = out.join(groups, "node", "left").select("ord", "doc_id", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("group_id"))
+    return out
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id, group_id of placed_groups() and group_size, the rows of the group, for each row of docs."""
+    out = placed_groups(docs, **options)
     sizes = out.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size"))
     return out.join(sizes, "group_id").select("doc_id", "class_id", "group_id", "group_size")
+
+
+def distinct_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) that come first in their group; of rows that share a place, the first text."""
+    first = placed_groups(docs, **options).filter(F.col("ord") == F.col("group_id")).select(F.col("ord").alias("_ord")).distinct()
+    placed = docs.withColumn("_ord", order_key(F.col("doc_id"), F.col("text"))).join(first, "_ord", "left_semi")
+    one = placed.withColumn("_nth", F.row_number().over(Window.partitionBy("_ord").orderBy("text")))
+    return one.filter("_nth = 1").drop("_ord", "_nth")

@@ -12,6 +12,7 @@ from . import mixing, vafile, warc
 from .common import shared_dir, table
 from .ctph import fingerprint_documents
 from .dartminhash import near_duplicates
+from .fuzzy_lines import line_dedup
 from .langid import held_out, identify
 from .mixing import mix_sources
 from .packing import pack
@@ -24,6 +25,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), texts=False).drop("kept", "spans")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
@@ -60,10 +65,16 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the repository top; it belongs to this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_near_duplicates, op2_warc_pages, op3_substring_dedup, op4_language_id, op5_mix_sources, op6_fingerprints, op8_suffix_dedup, op9_pack_sequences, op10_exact_top_k,
+        op1_near_duplicates, op2_warc_pages, op3_substring_dedup, op4_language_id, op5_mix_sources, op6_fingerprints, op7_line_dedup, op8_suffix_dedup, op9_pack_sequences, op10_exact_top_k, pipeline,
     )
 }
 ORACLES = {"op2_warc_pages": warc.SQL, "op5_mix_sources": mixing.SQL, "op10_exact_top_k": vafile.SQL}
