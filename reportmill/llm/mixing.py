@@ -8,7 +8,6 @@ comparing their hash with their source's threshold: nothing is sorted, and a lar
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
