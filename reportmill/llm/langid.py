@@ -119,9 +119,8 @@ def identify(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFra
     """
     names, table = train(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
     model = docs.sparkSession.sparkContext.broadcast((names, table))  # GRAMS floats a language
-    wanted = docs.select(F.col("text").cast("string").alias("_text"), *(F.col(f"`{c}`") for c in columns))
-    schema = "lang_pred string, score double, langs map<string,double>"
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields[1:])
+    wanted = docs.select(F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("rest"))
+    schema = f"rest {wanted.schema['rest'].dataType.simpleString()}, lang_pred string, score double, langs map<string,double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = model.value
@@ -144,7 +143,7 @@ def identify(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFra
             known = lettered & (best >= 0)
             out = [names[b] if k else UND for b, k in zip(best, known, strict=True)]
             shown = [x if k else [] for x, k in zip(langs, known, strict=True)]
-            columns = [*batch.columns[1:], pa.array(out, pa.string()), pa.array(np.where(known, np.minimum(score, 1.0), 0.0)), pa.array(shown, pa.map_(pa.string(), pa.float64()))]
-            yield pa.record_batch(columns, [*batch.schema.names[1:], "lang_pred", "score", "langs"])
+            columns = [batch.column(1), pa.array(out, pa.string()), pa.array(np.where(known, np.minimum(score, 1.0), 0.0)), pa.array(shown, pa.map_(pa.string(), pa.float64()))]
+            yield pa.record_batch(columns, ["rest", "lang_pred", "score", "langs"])
 
-    return wanted.mapInArrow(run, f"{fields}, {schema}")
+    return wanted.mapInArrow(run, schema).select("rest.*", "lang_pred", "score", "langs")
