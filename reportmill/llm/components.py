@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -43,19 +43,24 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
-def linked_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], centres: int) -> DataFrame:
-    """node, component of all nodes that verified links join; members(key, node) holds the buckets of candidates.
+def linked_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], centres: int, likely: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """node, component of all nodes that verified links join; members(key, node, mark) holds the buckets of candidates.
 
     A bucket is settled in rounds. In the first, every member is compared with the bucket's first; later, with the
-    first of up to `centres` of the groups that the bucket still holds, until one group is left in it, or one member
-    that was no centre. Two members are left uncompared only where they are in one group by then, so no link between
-    groups is lost, and the pairs of a bucket are never all made. verify(pairs(a, b)) returns those that are links.
+    first of some of the groups that the bucket still holds (two, and four times as many each round up to `centres`, so
+    that large groups grow together on few comparisons), until one group is left in it, or one member that was no centre. Two members are left uncompared only where they are in one group by then, so no link between
+    groups is lost, and the pairs of a bucket are never all made. likely(mark, mark) is a cheap test that all links
+    pass: it is part of the join, so pairs that fail it are no rows. verify(pairs(a, b)) returns those that are links.
     """
     compared = edges = groups = None
+    n = 2
     open_ = members.withColumn("g", F.col("node"))
-    first = members.groupBy("key").agg(F.min("node").alias("c")).withColumn("cg", F.col("c"))
+    first = members.groupBy("key").agg(F.min("node").alias("c"), F.min_by("mark", "node").alias("cm")).withColumn("cg", F.col("c"))
     while True:
-        met = open_.join(first, "key").filter((F.col("node") != F.col("c")) & (F.col("g") != F.col("cg")))
+        near = (F.col("node") != F.col("c")) & (F.col("g") != F.col("cg"))
+        if likely:
+            near &= likely(F.col("mark"), F.col("cm"))
+        met = open_.join(first.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & near)
         pairs = met.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
@@ -72,5 +77,6 @@ def linked_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
         open_ = written(open_.join(mixed, "key"), "open")
         if open_.isEmpty():
             return groups
-        firsts = open_.groupBy("key", F.col("g").alias("cg")).agg(F.min("node").alias("c"))
-        first = firsts.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("c"))).filter(F.col("n") <= centres).drop("n")
+        firsts = open_.groupBy("key", F.col("g").alias("cg")).agg(F.min("node").alias("c"), F.min_by("mark", "node").alias("cm"))
+        first = firsts.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("c"))).filter(F.col("n") <= min(n, centres)).drop("n")
+        n *= 4

@@ -96,7 +96,7 @@ def test_rounds_lose_no_link(spark):
     nodes = list(range(40))
     r.shuffle(nodes)
     links = {tuple(sorted(x)) for part in (nodes[:15], nodes[15:33]) for x in zip(part, part[1:])}
-    members = spark.createDataFrame([(1, n) for n in nodes], "key long, node long")
+    members = spark.createDataFrame([(1, n, 0) for n in nodes], "key long, node long, mark int")
     wanted = spark.createDataFrame(sorted(links), "a long, b long")
     got = linked_groups(members, lambda pairs: pairs.join(F.broadcast(wanted), ["a", "b"]), 8)
     want = roots(nodes, links)
