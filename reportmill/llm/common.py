@@ -65,7 +65,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def powers(n: int, base: int = BASE, _kept: dict = {}) -> np.ndarray:  # noqa: B006
     """base**0 .. base**(n-1) modulo 2**64."""
-    if len(_kept.get(base, ())) < n:
+    if base not in _kept or len(_kept[base]) < n:
         p = np.full(max(n, 1 << 18), U64(base))
         p[0] = 1
         _kept[base] = np.multiply.accumulate(p)
