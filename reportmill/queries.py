@@ -536,12 +536,78 @@ def knn_rerank_overlap(spark, sf_dir):
 
 @query()
 def embed_search(spark, sf_dir):
-    """Documents embedded by the offline embedder, and each of ten found again as its own nearest."""
+    """Documents embedded by the offline embedder, and every fiftieth asked for its nearest."""
     d = table(spark, sf_dir, "documents").select("doc_id", retrieve.embed(F.col("text"), retrieve.HashingEmbedder()).alias("embedding"))
-    asked = table(spark, sf_dir, "documents").filter("doc_id < 10").select(F.col("doc_id").alias("query_id"), retrieve.embed(F.col("text"), retrieve.HashingEmbedder(), "retrieval_query").alias("embedding"))
+    asked = table(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), retrieve.embed(F.col("text"), retrieve.HashingEmbedder(), "retrieval_query").alias("embedding"))
     return retrieve.knn(asked, d, 1, chunk_id="doc_id")
 
 
+# The same searches for every vec_id divisible by 50, with whole parent texts and all parents and reports.
+
+
+def hits_50(spark, sf_dir, where="true"):
+    v = chunks(spark, sf_dir)
+    found = retrieve.knn(v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.filter(where), K, chunk_id="vec_id")
+    return found.withColumn("score", F.round("score", 6))
+
+
+def one_50(spark, sf_dir):
+    return retrieve.one_per_parent(hits_50(spark, sf_dir).join(chunks(spark, sf_dir).drop("embedding"), "vec_id"))
+
+
+def expanded_50(spark, sf_dir):
+    h = one_50(spark, sf_dir).withColumn("text", F.concat(F.lit("chunk "), F.col("vec_id").cast("string")))
+    return retrieve.with_parent_text(h, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent_id"), F.col("text").alias("content")))
+
+
+def passages_50(spark, sf_dir):
+    r = reports(spark, sf_dir, with_id=True).select("doc_id", "target_name", "report_date", "title", "broker", "file_name")
+    return retrieve.top_passages(expanded_50(spark, sf_dir)).join(r, F.col("vec_id") == F.col("doc_id"), "left").drop("doc_id")
+
+
+def every_50(sql: str) -> str:
+    """The SQL of a search above, for every vec_id divisible by 50 and without its cuts."""
+    for old, new in (("q.vec_id < 10", "q.vec_id % 50 = 0"), ("substr(d.text, 1, 60)", "d.text"), (" AND d.doc_id % 4 <> 0", ""), (" AND r.doc_id % 9 <> 0", "")):
+        sql = sql.replace(old, new)
+    return sql
+
+
+@query(every_50(SQL["knn_topk"]))
+def knn_topk_50(spark, sf_dir):
+    return hits_50(spark, sf_dir).select("query_id", "vec_id", "score", "rank")
+
+
+@query(every_50(SQL["knn_filtered"]))
+def knn_filtered_50(spark, sf_dir):
+    return hits_50(spark, sf_dir, "label = 1").select("query_id", "vec_id", "score", "rank")
+
+
+@query(every_50(SQL["knn_dedup_parent"]))
+def knn_dedup_parent_50(spark, sf_dir):
+    return one_50(spark, sf_dir).select("query_id", "vec_id", "parent_id", "rank")
+
+
+@query(every_50(SQL["knn_expand_parent"]))
+def knn_expand_parent_50(spark, sf_dir):
+    return expanded_50(spark, sf_dir).select("query_id", "vec_id", "rank", "text")
+
+
+@query(every_50(SQL["knn_context"]))
+def knn_context_50(spark, sf_dir):
+    return retrieve.context(passages_50(spark, sf_dir))
+
+
+@query(every_50(SQL["knn_hit_report"]))
+def knn_hit_report_50(spark, sf_dir):
+    return retrieve.hit_report(passages_50(spark, sf_dir))
+
+
+@query(every_50(SQL["knn_rerank_overlap"]))
+def knn_rerank_overlap_50(spark, sf_dir):
+    h = expanded_50(spark, sf_dir).select("query_id", "vec_id", "rank", "text")
+    return retrieve.rerank(h, F.lit("the of chunk"), F.col("text")).drop("text")
+
+
 # ---- guarded SQL --------------------------------------------------------------------------------------------------
 
 STATEMENTS = (
@@ -665,6 +731,15 @@ def ticker_resolve(spark, sf_dir):
     return prices.resolve_tickers(asked_names(spark, sf_dir), s)
 
 
+@query(SQL["ticker_resolve"].replace(" WHERE p_partkey % 100 = 1", "").replace(" WHERE p_partkey % 100 = 2", ""))
+def ticker_resolve_all(spark, sf_dir):
+    """Every part name, whole and from the inside."""
+    p = table(spark, sf_dir, "part")
+    inside = p.select(F.expr("substr(p_name, 3, length(p_name) - 3)").alias("name_asked"))
+    asked = p.select(F.col("p_name").alias("name_asked")).unionByName(inside).unionByName(literals(spark, "name_asked", ["no such name"]))
+    return prices.resolve_tickers(asked, p.select(F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("code")))
+
+
 @query("""WITH p AS (SELECT o_custkey::VARCHAR AS ticker, o_orderdate::DATE AS trade_date, o_totalprice AS close, o_orderkey AS volume FROM orders),
 w AS (SELECT * FROM p WHERE trade_date >= (SELECT max(trade_date) FROM p) - 400 - 14 AND trade_date <= (SELECT max(trade_date) FROM p) - 400)
 SELECT ticker, trade_date::VARCHAR AS trade_date, close, volume FROM w QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY trade_date DESC, close DESC, volume DESC) <= 5""")
