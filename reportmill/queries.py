@@ -443,6 +443,17 @@ def chunk_context_prefix(spark, sf_dir):
     return r.select("doc_id", text.alias("chunk"), chunk.chunk_id(F.col("file_name"), F.lit(0)).alias("chunk_id"))
 
 
+@query(f"""WITH {REPORTS}, w AS (SELECT doc_id, text, unnest(range(greatest(ceil((length(text) - 500) / 450.0), 0)::BIGINT + 1)) AS i FROM documents)
+SELECT r.doc_id, i::INTEGER AS chunk_index, '[기업: ' || target_name || ', 제목: ' || title || ']' || chr(10) || substr(w.text, (i * 450 + 1)::BIGINT, 500) AS chunk, sha256(r.file_name || chr(1) || i::VARCHAR) AS chunk_id
+FROM reports r JOIN w ON r.doc_id = w.doc_id""")
+def chunk_context_prefix_all(spark, sf_dir):
+    """Every window of a document under its context prefix."""
+    r = reports(spark, sf_dir, with_id=True).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    r = r.select("doc_id", "file_name", "target_name", "title", F.posexplode(chunk.fixed_windows(F.col("text"), 500, 50)).alias("chunk_index", "window"))
+    text = F.concat(chunk.context_prefix(F.col("target_name"), F.col("title")), F.col("window"))
+    return r.select("doc_id", "chunk_index", text.alias("chunk"), chunk.chunk_id(F.col("file_name"), F.col("chunk_index")).alias("chunk_id"))
+
+
 @query()
 def chunk_recursive_stats(spark, sf_dir):
     """Parents and children of all documents: how many, and how long."""

@@ -39,3 +39,11 @@ def test_every_part_name(spark, small):
     rows = {r.name_asked: r.code for r in queries.ticker_resolve_all(spark, small).collect()}
     assert len(rows) == 120 + len({f"part name {i:03}"[2:-1] for i in range(120)}) + 1
     assert all(rows[f"part name {i:03}"] == str(i) for i in range(120)) and rows["no such name"] is None
+
+
+def test_every_window_under_its_prefix(spark, small):
+    rows = [r for r in queries.chunk_context_prefix_all(spark, small).collect() if r.doc_id == 7]
+    first = {r.chunk_index: r.chunk.split("\n", 1) for r in rows}
+    text = spark.read.parquet(f"{small}/documents.parquet").filter("doc_id = 7").first().text
+    assert len({r.chunk_id for r in rows}) == len(rows) == 4 and {x[0][:4] for x in first.values()} == {"[기업:"[:4]}
+    assert first[0][1] + "".join(first[i][1][50:] for i in range(1, 4)) == text
