@@ -23,20 +23,37 @@ INVERSE = pow(BASE, -1, 1 << 64)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only where it is unset."""
+def shared_dir(spark: SparkSession, _own: dict = {}) -> str:  # noqa: B006
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a folder of its own for its tables. A cluster does not: other machines
+    would not see it, so that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="reportmill-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    sc = spark.sparkContext
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="reportmill-")
+    return _own[sc.applicationId]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: it cuts the lineage, and a lost executor loses nothing of it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables of written() that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,13 +1,57 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps, and groups of verified links."""
+"""Connected components of an edge table, and groups of verified links between the members of shared buckets."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from math import ceil
+from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
+
+#: Edges that one task contracts in memory, at 16 bytes each; more are dealt to more tasks.
+EDGES = 1 << 20
+
+
+def united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges, sorted, and the smallest node that each is connected with."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        p, q = root[x], root[y]
+        apart = p != q
+        if not apart.any():
+            return nodes, nodes[root]
+        np.minimum.at(root, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """The edges of each partition as stars: each node under the smallest that it is connected with there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+        def stars() -> tuple[np.ndarray, np.ndarray]:
+            return united(np.concatenate(a), np.concatenate(b))
+
+        for batch in batches:
+            a.append(batch.column(0).to_numpy())
+            b.append(batch.column(1).to_numpy())
+            n += batch.num_rows
+            if n > 2 * EDGES:  # a star has at most an edge a node, so what is held stays in proportion to the nodes
+                nodes, roots = stars()
+                a, b, n = [nodes], [roots], 0
+        nodes, roots = stars()
+        yield pa.record_batch([pa.array(nodes), pa.array(roots)], ["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
 def stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,57 +70,139 @@ def stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int = EDGES) -> DataFrame:
     """node, component (its smallest node) for every node of edges(a, b), two longs. Nulls and loops are left out.
 
-    The rounds grow with the logarithm of the longest path; each round's edges are written to the shared folder.
+    Tasks contract their own edges first. Up to `most` edges that are left meet in one task; while there are more,
+    large-star and small-star steps go on, whose rounds grow with the logarithm of the longest path. Each round's edges
+    are written to the shared folder and the round before is removed.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    now = written(contracted(edges.filter("a <> b")).filter("a <> b").distinct(), "edges")
     before = None
-    while True:
-        now = written(stars(stars(now, True), False), "edges")
-        mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if mark == before:
-            break
+    while (n := now.count()) > most:
+        dealt = stars(stars(now, True), False).repartition(ceil(n / most), "b")
+        after = written(contracted(dealt).filter("a <> b").distinct(), "edges")
+        mark = after.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        forget(now)
+        now = after
+        if mark == before:  # stars only: each node hangs on its smallest
+            roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
         before = mark
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    out = written(contracted(now.repartition(1)).select(F.col("a").alias("node"), F.col("b").alias("component")), "components")
+    forget(now)
+    return out
+
+
+#: Members of one bucket that a task compares with as many others at once, and pairs that it looks at at once.
+BLOCK, PAIRS = 512, 1 << 16
+
+
+class Judge(Protocol):
+    """Compares members of buckets: built from a table of payload rows, asked for pairs of their numbers."""
 
+    def __init__(self, rows: pa.Table): ...
 
-def linked_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], centres: int, likely: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """node, component of all nodes that verified links join; members(key, node, mark) holds the buckets of candidates.
+    def may(self, key: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs, each of them in the bucket `key`, may be links: vectorised, and true for all that are."""
 
-    A bucket is settled in rounds. In the first, every member is compared with the bucket's first; later, with the
-    first of some of the groups that the bucket still holds (two, and four times as many each round up to `centres`, so
-    that large groups grow together on few comparisons), until one group is left in it, or one member that was no centre. Two members are left uncompared only where they are in one group by then, so no link between
-    groups is lost, and the pairs of a bucket are never all made. likely(mark, mark) is a cheap test that all links
-    pass: it is part of the join, so pairs that fail it are no rows. verify(pairs(a, b)) returns those that are links.
+    def link(self, x: int, y: int) -> bool: ...
+
+
+def settled(open_: DataFrame, payload: DataFrame, judge: Callable[[pa.Table], Judge]) -> DataFrame:
+    """Links (a, b) that join different groups g of open_(key, node, g); payload(node, ...) is what judge needs.
+
+    A key's members are dealt out in blocks, and each two blocks meet in a task, so a task holds two blocks of a key at
+    most; pairs are never rows. Pairs whose groups a task has joined by then are left out.
     """
-    compared = edges = groups = None
-    n = 2
-    open_ = members.withColumn("g", F.col("node"))
-    first = members.groupBy("key").agg(F.min("node").alias("c"), F.min_by("mark", "node").alias("cm")).withColumn("cg", F.col("c"))
-    while True:
-        near = (F.col("node") != F.col("c")) & (F.col("g") != F.col("cg"))
-        if likely:
-            near &= likely(F.col("mark"), F.col("cm"))
-        met = open_.join(first.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & near)
-        pairs = met.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if groups is None or not pairs.isEmpty():
-            found = written(verify(pairs).select("a", "b"), "links")
-            compared = pairs if compared is None else compared.unionByName(pairs)
-            if groups is None or not found.isEmpty():
-                edges = found if edges is None else edges.unionByName(found)
-                groups = components(edges)
-        open_ = open_.join(first.select("key", F.col("c").alias("node")), ["key", "node"], "left_anti").drop("g")
-        open_ = open_.join(groups.select("node", F.col("component").alias("g")), "node", "left").withColumn("g", F.coalesce("g", "node"))
-        mixed = open_.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("key")
-        open_ = written(open_.join(mixed, "key"), "open")
-        if open_.isEmpty():
-            return groups
-        firsts = open_.groupBy("key", F.col("g").alias("cg")).agg(F.min("node").alias("c"), F.min_by("mark", "node").alias("cm"))
-        first = firsts.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("c"))).filter(F.col("n") <= min(n, centres)).drop("n")
-        n *= 4
+    n = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = open_.join(n, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "g")
+    dealt = dealt.join(payload, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                x = y
+            return x
+
+        def links(rows: pa.Table) -> pa.RecordBatch:
+            rows = rows.combine_chunks()
+            key, i, j, own, node, g = (rows.column(c).to_numpy() for c in ("key", "i", "j", "own", "node", "g"))
+            asked, found = judge(rows), []
+            for x, y in pairs_of(key, i, j, own):
+                apart = g[x] != g[y]
+                x, y = x[apart], y[apart]
+                near = asked.may(key[x], x, y) if len(x) else apart[:0]
+                for v, w in zip(x[near].tolist(), y[near].tolist(), strict=True):
+                    p, q = root(int(g[v])), root(int(g[w]))
+                    if p != q and asked.link(v, w):
+                        found.append((v, w))
+                        up[max(p, q)] = min(p, q)
+            v, w = np.array(found, np.int64).reshape(-1, 2).T
+            return pa.record_batch([pa.array(np.minimum(node[v], node[w])), pa.array(np.maximum(node[v], node[w]))], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            key, i, j = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("key", "i", "j"))
+            new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            if len(new):  # all but the last blocks are here whole
+                yield links(pa.Table.from_batches([*held, batch.slice(0, new[-1])]))
+                held, batch = [], batch.slice(new[-1])
+            held.append(batch)
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def pairs_of(key: np.ndarray, i: np.ndarray, j: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of each two blocks, or within one (i = j), of rows sorted by key, i and j: some PAIRS at once."""
+    edges = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+    x, y, n = [], [], 0
+    for at, to in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
+        if at == to:
+            continue
+        if i[at] == j[at]:
+            v, w = np.triu_indices(to - at, 1)
+        else:
+            left = own[at:to] == i[at]
+            v, w = (c.ravel() for c in np.meshgrid(np.flatnonzero(left), np.flatnonzero(~left)))
+        for k in range(0, len(v), PAIRS):
+            x.append(v[k : k + PAIRS] + at)
+            y.append(w[k : k + PAIRS] + at)
+            n += len(x[-1])
+            if n >= PAIRS:
+                yield np.concatenate(x), np.concatenate(y)
+                x, y, n = [], [], 0
+    if n:
+        yield np.concatenate(x), np.concatenate(y)
+
+
+def linked_groups(members: DataFrame, payload: DataFrame, verify: Callable[[DataFrame], DataFrame], judge: Callable[[pa.Table], Judge]) -> DataFrame:
+    """node, component of all nodes that verified links join; members(key, node) holds the buckets of candidates.
+
+    First every member is compared with the hub of its bucket, the member that shares most places with others: what
+    gathers around one text joins there, by verify(pairs(a, b, key)), which returns those that are links; key is the
+    smallest of the keys that made the pair. Buckets whose
+    members are in several groups after that stay open, and settled() looks for links between those groups. So two
+    members are left uncompared only where they are in one group by then: no link between groups is lost, and the pairs
+    within a group are never made.
+    """
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    weights = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("w"))
+    hubs = members.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct(F.col("w"), -F.col("node"))).alias("hub"))
+    met = members.join(hubs, "key").filter("node <> hub")
+    pairs = met.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.min("key").alias("key"))
+    links = written(verify(pairs).select("a", "b"), "links")
+    groups = components(links)
+    placed = members.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("g"))
+    mixed = placed.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("key")
+    found = written(settled(written(placed.join(mixed, "key"), "open"), payload, judge), "links")
+    forget(links)
+    if found.isEmpty():
+        return groups
+    return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
