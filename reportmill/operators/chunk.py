@@ -17,25 +17,28 @@ UNKNOWN_BROKER = "알수없음"
 def header_sections(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Sections of a markdown text: keys, section, h1..h3, content. A heading opens a section and stays in its text.
 
-    A heading of a level clears the deeper ones. Blank sections go. Each text is split within its own row.
+    A heading of a level clears the deeper ones. Blank sections go. Each text is split within its own row, so rows that
+    share their keys stay apart, and keys may have any names.
     """
-    heading = r"^(#{1,3}) +(.*)$"
-    lines = docs.select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("n", "line"))
-    level = F.length(F.regexp_extract("line", heading, 1))
-    title = F.trim(F.regexp_extract("line", heading, 2))
-    lines = lines.withColumn("level", level).withColumn("title", title)
-    upto = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(upto))
-    last = lambda k: F.max(F.when(F.col("level") == k, F.struct("n", "title"))).over(upto)
-    opened = lambda k: F.max(F.when((F.col("level") > 0) & (F.col("level") < k), F.col("n"))).over(upto)
-    for k in (1, 2, 3):
-        lines = lines.withColumn(f"_{k}", last(k)).withColumn(f"_o{k}", opened(k))
-    for k in (1, 2, 3):
-        still = F.col(f"_o{k}").isNull() | (F.col(f"_{k}.n") > F.col(f"_o{k}"))
-        lines = lines.withColumn(f"h{k}", F.when(still, F.col(f"_{k}.title")))
-    text_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
-    out = lines.groupBy(*keys, "section").agg(*(F.max(f"h{k}").alias(f"h{k}") for k in (1, 2, 3)), text_of.alias("content"))
-    return out.filter(F.trim(F.translate("content", "\n", "")) != "")
+    heading, nothing = r"^(#{1,3}) +(.*)$", F.lit(None).cast("string")
+    lines = F.transform(
+        F.split(F.col("_text"), "\n"),
+        lambda x: F.struct(x.alias("line"), F.length(F.regexp_extract(x, heading, 1)).alias("level"), F.trim(F.regexp_extract(x, heading, 2)).alias("title")),
+    )
+    # the places of the headings, each the beginning of a section; before the first there is section 0
+    starts = F.filter(F.transform("_lines", lambda x, i: F.when(x["level"] > 0, i)), lambda i: i.isNotNull())
+    one = docs.select(F.struct(*keys).alias("_keys"), F.col(text).alias("_text")).withColumn("_lines", lines)
+    one = one.withColumn("_starts", F.concat(F.array(F.lit(0)), starts))
+    one = one.select("_keys", "_lines", "_starts", F.posexplode("_starts").alias("section", "_from"))
+    upto = F.coalesce(F.get("_starts", F.col("section") + 1), F.size("_lines"))
+    content = F.array_join(F.transform(F.slice("_lines", F.col("_from") + 1, upto - F.col("_from")), lambda x: x["line"]), "\n")
+    path = F.transform(F.slice("_starts", 2, F.col("section")), lambda i: F.get("_lines", i))  # the headings so far
+    step = lambda held, x: F.when(x["level"] == 1, F.struct(x["title"].alias("h1"), nothing.alias("h2"), nothing.alias("h3"))).when(
+        x["level"] == 2, F.struct(held["h1"].alias("h1"), x["title"].alias("h2"), nothing.alias("h3"))
+    ).otherwise(F.struct(held["h1"].alias("h1"), held["h2"].alias("h2"), x["title"].alias("h3")))
+    none = F.struct(nothing.alias("h1"), nothing.alias("h2"), nothing.alias("h3"))
+    out = one.select("_keys", F.col("section").cast("long").alias("section"), F.aggregate(path, none, step).alias("_h"), content.alias("content"))
+    return out.filter(F.trim(F.translate("content", "\n", "")) != "").select("_keys.*", "section", "_h.h1", "_h.h2", "_h.h3", "content")
 
 
 def fixed_windows(text: Column, size: int, overlap: int) -> Column:
@@ -48,37 +51,32 @@ def fixed_windows(text: Column, size: int, overlap: int) -> Column:
 def split_recursively(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Pieces of at most `size` characters, in order, each a trimmed substring of the text.
 
-    The text is cut after the first separator that it holds; only pieces that are too long are cut by the next ones.
-    Neighbours are joined while they fit, and a chunk begins with the last whole pieces of the one before it that
-    together have at most `overlap` characters. No character but white space is lost.
+    The text is cut before the first separator that it holds; only pieces that are too long are cut by the next ones.
+    Neighbours are joined while they fit, what is trimmed at a chunk's ends not counted, and a chunk begins with the
+    last whole pieces of the one before it that together have at most `overlap` characters. No character but white space
+    is lost.
     """
-    pieces = _pieces(text, size, separators)
     out: list[str] = []
     held: list[str] = []
-    length = 0
-    for piece in pieces:
-        if held and length + len(piece) > size:
+    for piece in _pieces(text, size, separators):
+        if held and len("".join([*held, piece]).strip()) > size:
             out.append("".join(held))
-            while held and (length > overlap or length + len(piece) > size):
-                length -= len(held.pop(0))
+            while held and (len("".join(held).strip()) > overlap or len("".join([*held, piece]).strip()) > size):
+                held.pop(0)
         held.append(piece)
-        length += len(piece)
     out.append("".join(held))
     return [c for c in (x.strip() for x in out) if c]
 
 
 def _pieces(text: str, size: int, separators: tuple[str, ...]) -> list[str]:
-    if len(text) <= size and not any(s and s in text for s in separators[:1]):
-        return [text] if text else []
     at = next((i for i, s in enumerate(separators) if s == "" or s in text), None)
     if at is None or separators[at] == "":
-        return [text[i : i + size] for i in range(0, len(text), size)] if len(text) > size else [text]
+        return [text[i : i + size] for i in range(0, len(text), size)] if len(text) > size else [text] if text else []
     s = separators[at]
-    parts = [p + s for p in text.split(s)]
-    parts[-1] = parts[-1][: -len(s)]
+    first, *others = text.split(s)
     out = []
-    for p in parts:
-        if len(p) > size:
+    for p in [first, *(s + o for o in others)]:
+        if len(p.strip()) > size:
             out += _pieces(p, size, separators[at + 1 :])
         elif p:
             out.append(p)

@@ -53,7 +53,7 @@ def with_nullable_target(reports: DataFrame) -> DataFrame:
 
 def insert_or_ignore(old: DataFrame, new: DataFrame, key: str = "file_name") -> DataFrame:
     """The rows of new that old has no row of that key for, one a key."""
-    order = Window.partitionBy(key).orderBy(*[c for c in new.columns if c != key])
+    order = Window.partitionBy(key).orderBy(*new.columns)
     one = new.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
     return one.join(old.select(key), key, "left_anti").select(*new.columns)
 
