@@ -98,6 +98,12 @@ def components(edges: DataFrame, most: int = EDGES) -> DataFrame:
 BLOCK, PAIRS = 512, 1 << 16
 
 
+def blocked(open_: DataFrame) -> DataFrame:
+    """open_(key, node, ...) with the number of blocks of its key and the one that it is in itself (own)."""
+    n = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    return open_.join(n, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
 class Judge(Protocol):
     """Compares members of buckets: built from a table of payload rows, asked for pairs of their numbers."""
 
@@ -115,9 +121,7 @@ def settled(open_: DataFrame, payload: DataFrame, judge: Callable[[pa.Table], Ju
     A key's members are dealt out in blocks, and each two blocks meet in a task, so a task holds two blocks of a key at
     most; pairs are never rows. Pairs whose groups a task has joined by then are left out.
     """
-    n = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = open_.join(n, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = blocked(open_).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "g")
     dealt = dealt.join(payload, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
@@ -182,27 +186,32 @@ def pairs_of(key: np.ndarray, i: np.ndarray, j: np.ndarray, own: np.ndarray) ->
         yield np.concatenate(x), np.concatenate(y)
 
 
-def linked_groups(members: DataFrame, payload: DataFrame, verify: Callable[[DataFrame], DataFrame], judge: Callable[[pa.Table], Judge]) -> DataFrame:
+def linked_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], settle: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """node, component of all nodes that verified links join; members(key, node) holds the buckets of candidates.
 
     First every member is compared with the hub of its bucket, the member that shares most places with others: what
     gathers around one text joins there, by verify(pairs(a, b, key)), which returns those that are links; key is the
     smallest of the keys that made the pair. Buckets whose
-    members are in several groups after that stay open, and settled() looks for links between those groups. So two
-    members are left uncompared only where they are in one group by then: no link between groups is lost, and the pairs
-    within a group are never made.
+    members are in several groups after that stay open, and settle(open(key, node, g)) returns links between those
+    groups, enough to join all that links join: see settled(). So two members are left uncompared only where they are in one group by then: no link between groups is lost, and the pairs
+    within a group are never made. With near(key, mark, mark), members also have a mark, and near() is a cheap test that
+    all links pass: pairs with a hub that fail it are no rows.
     """
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     weights = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("w"))
-    hubs = members.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct(F.col("w"), -F.col("node"))).alias("hub"))
-    met = members.join(hubs, "key").filter("node <> hub")
-    pairs = met.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.min("key").alias("key"))
+    mark = [] if near is None else ["mark"]
+    best = F.max_by(F.struct("node", *mark), F.struct(F.col("w"), -F.col("node")))
+    met = members.join(members.join(weights, "node").groupBy("key").agg(best.alias("hub")), "key").filter("node <> hub.node")
+    if near is not None:
+        met = met.filter(near(F.col("key"), F.col("mark"), F.col("hub.mark")))
+    pairs = met.groupBy(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).agg(F.min("key").alias("key"))
     links = written(verify(pairs).select("a", "b"), "links")
     groups = components(links)
     placed = members.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("g"))
     mixed = placed.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("key")
-    found = written(settled(written(placed.join(mixed, "key"), "open"), payload, judge), "links")
-    forget(links)
+    open_ = written(placed.join(mixed, "key"), "open")
+    found = written(settle(open_).select("a", "b"), "links")
+    forget(links, open_)
     if found.isEmpty():
         return groups
     return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))

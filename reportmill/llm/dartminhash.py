@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, forget, mix, order_key, prefix_sums, slices, span_hash, utf8, word_hashes, words, written
-from .components import linked_groups
+from .components import linked_groups, settled
 
 Weigh = Callable[[np.ndarray], np.ndarray]
 SIGNED = "ord long, doc_id long, sha long, c1 long, c2 long, bands array<long>"
@@ -121,7 +121,7 @@ def marks_of(signature: np.ndarray) -> np.ndarray:
 
 
 class Sets:
-    """Stored sets, compared by their marks first: a Judge for linked_groups().
+    """Stored sets, compared by their marks first: a Judge for settled().
 
     Pairs of the similarity `threshold` have marks near enough but for 4 standard deviations (1 in 30,000), more similar
     ones ever more surely. Of the buckets that two sets share, they count in the first band's.
@@ -255,7 +255,7 @@ def placed_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
     held = element_sets(docs.join(wanted.select("ord").distinct(), "ord", "left_semi"), size, bands, band_rows, weigh)
     sets = written(held.join(wanted.select("node", "c1", "c2"), ["c1", "c2"]).dropDuplicates(["node"]).drop("c1", "c2"), "sets")
 
-    groups = linked_groups(members, sets, lambda pairs: similar(pairs, sets, threshold), lambda rows: Sets(rows, bands * band_rows, threshold))
+    groups = linked_groups(members, lambda pairs: similar(pairs, sets, threshold), lambda open_: settled(open_, sets, lambda rows: Sets(rows, bands * band_rows, threshold)))
     forget(members, sets)
     named = classes.join(groups, "node", "left").select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("alone").alias("single"), F.col("node").alias("class_id"), F.coalesce("component", "node").alias("group_id"))
     same = (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")) & F.col("alone").eqNullSafe(F.col("single"))

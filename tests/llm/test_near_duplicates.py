@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reportmill.llm.components import components, linked_groups
+from reportmill.llm.components import components, linked_groups, settled
 from reportmill.llm import components as module
 from reportmill.llm.common import mix
 from reportmill.llm.dartminhash import distinct_documents, elements, near_duplicates, throw
@@ -168,6 +168,6 @@ def test_groups_lose_no_link(spark, monkeypatch, block):
         def link(self, x, y):
             return tuple(sorted((self.node[x], self.node[y]))) in links
 
-    got = linked_groups(members, payload, verify, Linked)
+    got = linked_groups(members, verify, lambda open_: settled(open_, payload, Linked))
     want = roots(nodes, links)
     assert {x.node: x.component for x in got.collect()} == {n: c for n, c in want.items() if Counter(want.values())[c] > 1}
