@@ -32,9 +32,19 @@ def any_of(patterns: Iterable[str], flags: str = "") -> str:
 
 
 def contains_any(c: Column, phrases: Iterable[str]) -> Column:
-    """One alternation of the phrases, which a regular expression scans for in one pass."""
-    phrases = list(phrases)
-    return c.rlike("|".join(re.escape(p) for p in phrases)) if phrases else F.lit(False)
+    out = F.lit(False)
+    for p in phrases:
+        out |= c.contains(p)
+    return out
+
+
+def once(c: Column, *steps) -> Column:
+    """steps applied to c one after the other, each to the value of the one before: in a plain expression, what is used
+    several times would be evaluated as often."""
+    out = F.array(c)
+    for step in steps:
+        out = F.transform(out, step)
+    return F.get(out, F.lit(0))
 
 
 def cut_section(text: Column, markers: Iterable[str] = DEFAULT.cut_markers) -> Column:
@@ -42,10 +52,8 @@ def cut_section(text: Column, markers: Iterable[str] = DEFAULT.cut_markers) -> C
 
     Only the first occurrence of each marker counts, and not if the text begins with it.
     """
-    places = [F.when(F.locate(m, text) > 1, F.locate(m, text)) for m in markers]
-    end = F.length(text) + 1
-    end = F.coalesce(F.least(*places) if len(places) > 1 else places[0], end) if places else end
-    return rstrip(text.substr(F.lit(1), end - 1))
+    places = F.filter(F.array(F.lit(0), *(F.locate(m, text) for m in markers)), lambda i: i > 1)
+    return rstrip(text.substr(F.lit(1), F.coalesce(F.array_min(places) - 1, F.length(text))))
 
 
 def sidebar_block(block: Column, rules: Rules = DEFAULT) -> Column:
@@ -59,25 +67,31 @@ def sidebar_block(block: Column, rules: Rules = DEFAULT) -> Column:
 
 
 def numeric_share(line: Column, rules: Rules = DEFAULT) -> Column:
-    tokens = F.filter(F.split(line, f"{SPACE}+"), lambda t: t != "")
-    numbers = F.filter(tokens, lambda t: t.rlike(any_of(rules.numeric, "(?U)")))
-    return F.when(F.size(tokens) > 0, F.size(numbers) / F.size(tokens)).otherwise(0.0)
+    numeric = any_of(rules.numeric, "(?U)")
+
+    def share(tokens: Column) -> Column:
+        return F.when(F.size(tokens) > 0, F.size(F.filter(tokens, lambda t: t.rlike(numeric))) / F.size(tokens)).otherwise(0.0)
+
+    return once(line, lambda x: F.filter(F.split(x, f"{SPACE}+"), lambda t: t != ""), share)
 
 
 def noise_line(line: Column, rules: Rules = DEFAULT) -> Column:
     """Whether a line goes. The first rule that applies decides; a blank line stays."""
-    s = strip(line)
-    korean = hangul(s)
-    return (
-        F.when(s == "", False)
-        .when(contains_any(s, rules.disclaimers), True)
-        .when(s.rlike(any_of(rules.captions, "(?iuU)")), True)
-        .when(s.isin(*rules.labels), True)
-        .when((F.length(s) < 35) & s.rlike(any_of(rules.row_labels, "(?U)")) & (korean < 14), True)
-        .when(korean >= 13, False)
-        .when((F.length(s) < 20) & (korean <= 6), True)
-        .otherwise(numeric_share(s, rules) >= 0.5)
-    )
+
+    def judged(x: Column) -> Column:
+        s, n, korean = x["s"], x["n"], x["korean"]
+        return (
+            F.when(n == 0, False)
+            .when(contains_any(s, rules.disclaimers), True)
+            .when(s.rlike(any_of(rules.captions, "(?iuU)")), True)
+            .when(s.isin(*rules.labels), True)
+            .when((n < 35) & (korean < 14) & s.rlike(any_of(rules.row_labels, "(?U)")), True)
+            .when(korean >= 13, False)
+            .when((n < 20) & (korean <= 6), True)
+            .otherwise(numeric_share(s, rules) >= 0.5)
+        )
+
+    return once(line, strip, lambda s: F.struct(s.alias("s"), F.length(s).alias("n"), hangul(s).alias("korean")), judged)
 
 
 def clean_block(block: Column, rules: Rules = DEFAULT) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import short_year_date, strip
@@ -64,12 +64,17 @@ def since(listing: DataFrame, target: str | None = None) -> DataFrame:
         dated = listing.crossJoin(F.broadcast(least))  # one row
     else:
         dated = listing.withColumn("_target", F.lit(target).cast("date"))
-    upto = Window.partitionBy("category").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    going = dated.withColumn("_ok", F.min(F.col("report_dt") >= F.col("_target")).over(upto))
-    return going.filter("_ok AND pdf_url IS NOT NULL").drop("_ok", "_target")
+    old = dated.filter(F.col("report_dt") < F.col("_target")).groupBy("category").agg(F.min("pos").alias("_stop"))
+    going = dated.join(F.broadcast(old), "category", "left")  # a row a category, of which LAYOUT has three
+    return going.filter("pdf_url IS NOT NULL AND (_stop IS NULL OR pos < _stop)").drop("_stop", "_target")
 
 
-def latest_day(listing: DataFrame, today: str, lookback: int = 30) -> DataFrame:
-    """One row: the latest date with reports up to today, within the days to look back."""
-    day = F.lit(today).cast("date")
-    return listing.filter((F.col("report_dt") <= day) & (F.col("report_dt") >= F.date_sub(day, lookback))).agg(F.max("report_dt").cast("string").alias("latest_date"))
+def latest_day(listing: DataFrame, today: str) -> DataFrame:
+    """One row: the latest date with reports up to today; null where there is none."""
+    return listing.filter(F.col("report_dt") <= F.lit(today).cast("date")).agg(F.max("report_dt").cast("string").alias("latest_date"))
+
+
+def crawl_count(listing: DataFrame, present: DataFrame) -> DataFrame:
+    """One row: how many of the listed files a run takes (n_taken) and how many of those are there already (n_present)."""
+    known = present.select("file_name", F.lit(True).alias("_there")).distinct()
+    return listing.select("file_name").distinct().join(known, "file_name", "left").agg(F.count(F.lit(1)).alias("n_taken"), F.count("_there").alias("n_present"))

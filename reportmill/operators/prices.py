@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A listing of so many symbols at most is broadcast; a longer one is searched without.
+BROADCAST = 200_000
+
+
 def resolve_tickers(asked: DataFrame, symbols: DataFrame) -> DataFrame:
     """name_asked, name, code for asked(name_asked): the symbol of that name, else the first that contains it, by code.
 
@@ -16,7 +20,8 @@ def resolve_tickers(asked: DataFrame, symbols: DataFrame) -> DataFrame:
     first = F.min_by(F.struct("name", "code"), F.struct("code", "name")).alias("s")
     equal = names.join(s, F.col("name_asked") == F.col("name")).groupBy("name_asked").agg(first)
     rest = names.join(equal, "name_asked", "left_anti")
-    inside = rest.join(s, F.col("name").contains(F.col("name_asked"))).groupBy("name_asked").agg(first)
+    few = s.limit(BROADCAST + 1).count() <= BROADCAST
+    inside = rest.join(F.broadcast(s) if few else s, F.col("name").contains(F.col("name_asked"))).groupBy("name_asked").agg(first)
     found = equal.unionByName(inside).select("name_asked", "s.name", "s.code")
     return names.join(found, "name_asked", "left")
 
@@ -28,16 +33,18 @@ def recent_prices(prices: DataFrame, as_of: str, days: int = 14, rows: int = 5,
     return window.withColumn("_n", F.row_number().over(last)).filter(F.col("_n") <= rows).drop("_n").orderBy(ticker, day)
 
 
-def price_answer(name: str, code: str | None, prices: DataFrame) -> str:
-    """A markdown table of a few prices, or why there is none."""
+def price_answer(name: str, code: str | None, prices: DataFrame | None, most: int = 50) -> tuple[str, str]:
+    """A status (unknown, empty, found) and a text for it: a markdown table of the prices of one ticker.
+
+    The text has the first `most` rows and says how many more there are.
+    """
     if code is None:
-        return f"'{name}' 종목 코드를 한국거래소(KRX) 상장 목록에서 찾을 수 없습니다."
-    try:
-        rows = prices.limit(50).collect()
-    except Exception as e:
-        return f"'{name}' 주가 정보를 가져오는 중 오류가 발생했습니다: {e}"
+        return "unknown", f"{name}: 상장 종목 가운데 이 이름이 없습니다."
+    rows = prices.limit(most + 1).collect()
     if not rows:
-        return f"최근 '{name}' 주가 데이터가 없습니다."
-    head = [f"| {' | '.join(prices.columns)} |", f"|{'---|' * len(prices.columns)}"]
-    body = [f"| {' | '.join(str(v) for v in r)} |" for r in rows]
-    return f"종목명: {name} (코드: {code})\n\n최근 주가 데이터:\n" + "\n".join(head + body)
+        return "empty", f"{name} ({code}): 이 기간에는 시세가 없습니다."
+    lines = [f"**{name}** `{code}`", "", " | ".join(prices.columns), " | ".join("---" for _ in prices.columns)]
+    lines += [" | ".join(str(v) for v in r) for r in rows[:most]]
+    if len(rows) > most:
+        lines.append(f"(+{prices.count() - most})")
+    return "found", "\n".join(lines)

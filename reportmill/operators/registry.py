@@ -38,11 +38,11 @@ def report_id(file_name: Column) -> Column:
     return F.sha2(file_name, 256)
 
 
-def parse_names(names: DataFrame, column: str = "file_name") -> DataFrame:
-    """Rows of REPORTS for the names that parse; the others go."""
-    out = names.select(parse_file_name(F.col(column)).alias("r")).filter("r IS NOT NULL").select("r.*")
-    return out.select(
-        report_id(F.col("file_name")).alias("report_id"), "report_type", "report_date", "report_dt", "target_name", "title", "broker", "file_name", F.lit(False).alias("is_embedded")
+def parse_names(names: DataFrame, column: str = "file_name", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of REPORTS for the names that parse, and the columns to keep; the others go. Each name is parsed once."""
+    one = names.select(*keep, F.explode(F.array(parse_file_name(F.col(column)))).alias("r")).filter("r IS NOT NULL").select(*keep, "r.*")
+    return one.select(
+        *keep, report_id(F.col("file_name")).alias("report_id"), "report_type", "report_date", "report_dt", "target_name", "title", "broker", "file_name", F.lit(False).alias("is_embedded")
     )
 
 

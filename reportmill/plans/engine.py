@@ -29,6 +29,10 @@ NOTHING_FOUND = "죄송합니다. 제공된 리포트에서는 관련 문서를
 NO_INDEX = "죄송합니다. 아직 색인된 리포트가 없습니다. 먼저 리포트를 등록해 주세요."
 
 
+#: Rows of a result that a prompt holds; where there are more it says so. Answer.rows has them all.
+SHOWN = 1000
+
+
 @dataclass
 class Answer:
     """What the engine found: the rows, the prompt for a language model, and its text where there is a model."""
@@ -154,7 +158,8 @@ class Engine:
         except sqlguard.SqlRejected as e:
             out.rejected, out.text = e.rejected, sqlguard.REFUSAL
             return
-        shown = out.rows.limit(1000).toPandas().to_string(index=False)
+        rows = out.rows.limit(SHOWN + 1).toPandas()
+        shown = rows.head(SHOWN).to_string(index=False) + ("\n(...)" if len(rows) > SHOWN else "")
         out.prompt = self._value(fill(ANSWER_FROM_TABLE, result=F.lit(shown), question=F.lit(out.rewritten)))
         out.text = self.model(out.prompt) if self.model else None
 

@@ -34,6 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, for costly work on rows of a table with fewer splits than that; others stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * n) if df.rdd.getNumPartitions() < n else df
+
+
 # ---- catalog ------------------------------------------------------------------------------------------------------
 
 
@@ -46,10 +52,7 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str, with_id: bool = False) -> DataFrame:
-    if not with_id:
-        return registry.parse_names(names(spark, sf_dir))
-    n = names(spark, sf_dir)
-    return registry.parse_names(n).join(n, "file_name")
+    return registry.parse_names(names(spark, sf_dir), keep=("doc_id",) if with_id else ())
 
 
 def done(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,7 +356,7 @@ def clean_cut_section(spark, sf_dir):
 
 @query(f"SELECT doc_id, n, noise, line FROM (SELECT *, {noise_sql('line')} AS noise FROM (SELECT doc_id, unnest(range(len(l)))::INTEGER AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))")
 def clean_noise_line(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    lines = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     return lines.withColumn("noise", X.noise_line(F.col("line")))
 
 
@@ -393,8 +396,8 @@ cleaned AS (SELECT src.k, coalesce(c.t, '') AS cleaned FROM src LEFT JOIN (SELEC
 @query(f"""WITH src AS (SELECT doc_id AS k, text FROM documents), {clean_sql("text", MARKERS)}
 SELECT k AS doc_id, cleaned, length(cleaned)::INTEGER AS n_chars, CASE WHEN {strip_sql('text')} = '' THEN 'no text' WHEN cleaned = '' THEN 'nothing left after cleaning' END AS error FROM cleaned JOIN src USING (k)""")
 def clean_document(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = d.withColumn("cleaned", X.clean_document(F.col("text"), RULES))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = d.select("doc_id", "text", F.explode(F.array(X.clean_document(F.col("text"), RULES))).alias("cleaned"))
     return out.select("doc_id", "cleaned", F.length("cleaned").alias("n_chars"), X.cleaning_error(F.col("text"), F.col("cleaned")).alias("error"))
 
 

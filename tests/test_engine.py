@@ -81,6 +81,15 @@ def test_guard_refuses(spark, sql):
     assert sqlguard.check(spark, sql) is not None
 
 
+def test_guard_refuses_registered_functions(spark):
+    own = spark.newSession()  # functions belong to a session
+    own.udf.register("leak", lambda: "x")
+    own.udf.register("upper", lambda x: "x")
+    assert sqlguard.check(own, "SELECT leak() FROM reports").reason == "function"
+    assert sqlguard.check(own, "SELECT upper(title) FROM reports").reason == "function"
+    assert sqlguard.check(own, "SELECT lower(title) FROM reports") is None and sqlguard.check(spark, "SELECT upper(title) FROM reports") is None
+
+
 def test_contract(spark):
     queries, oracles = entry_module.queries(), entry_module.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 55

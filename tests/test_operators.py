@@ -104,6 +104,9 @@ def test_listing(spark):
     assert sorted((r.category, r.pos) for r in listing.since(df).collect()) == [("company", 0), ("industry", 1)]
     assert listing.latest_day(df, "2024-02-22").first().latest_date == "2024-02-22"
     assert listing.latest_day(df, "2024-02-19").first().latest_date is None
+    assert listing.latest_day(df, "2024-12-31").first().latest_date == "2024-02-23"
+    files = spark.createDataFrame([("a",), ("b",), ("a",)], "file_name string")
+    assert tuple(listing.crawl_count(files, files.filter("file_name = 'b'")).first()) == (2, 1)
 
 
 def test_prices(spark):
@@ -113,8 +116,10 @@ def test_prices(spark):
     p = spark.createDataFrame([("t", f"2024-01-{d:02d}", float(d)) for d in (1, 3, 10, 11, 12, 13, 14, 15, 16)], "ticker string, d string, close double").withColumn("trade_date", F.col("d").cast("date")).drop("d")
     got = prices.recent_prices(p, "2024-01-15")
     assert [r.close for r in got.collect()] == [11.0, 12.0, 13.0, 14.0, 15.0]
-    assert "| t |" in prices.price_answer("AB", "2", got) or "t" in prices.price_answer("AB", "2", got)
-    assert "찾을 수 없습니다" in prices.price_answer("AB", None, got) and "데이터가 없습니다" in prices.price_answer("AB", "2", got.limit(0))
+    status, shown = prices.price_answer("AB", "2", got)
+    assert status == "found" and "close | trade_date" in shown and shown.count("2024-01-") == 5
+    assert prices.price_answer("AB", "2", got, 3)[1].endswith("(+2)")
+    assert [prices.price_answer("AB", *x)[0] for x in ((None, None), ("2", got.limit(0)))] == ["unknown", "empty"]
 
 
 def test_sessions(spark):
