@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -45,43 +44,45 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(queries: DataFrame, chunks: DataFrame, k: int = 5, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
+def knn(queries: DataFrame, chunks: DataFrame, k: int = 5, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding", block: int = 4096, group: int = 65_536) -> DataFrame:
     """query_id, chunk_id, score, rank: each query's k nearest chunks by squared distance, ties to the smaller chunk.
 
-    Queries go out in blocks of a fixed number, whatever their count. A task keeps the k best of its own chunks for
-    each query of the block, so what is shuffled is k rows a query and task, not the product of the tables.
+    Queries are numbered into blocks and chunks into groups; a task compares a block with a group and gives the k best
+    of it for each query (all ties with the last), so what is shuffled on is some k rows a query and group, not the
+    product. Neither passes through the driver. Rows without a vector take no part, nor chunks of another length.
     """
-    q = queries.select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
-    n = q.count()
-    blocks = max(1, -(-n // block))
-    types = f"`{query_id}` {q.schema['q'].dataType.simpleString()}, `{chunk_id}` {chunks.schema[chunk_id].dataType.simpleString()}, score double"
-    source = chunks.select(F.col(chunk_id).alias("c"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
-    found = []
-    for b in range(blocks):
-        part = q.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else q
-        rows = part.collect()  # some `block` queries
-        if rows:
-            ids, held = [r.q for r in rows], np.array([r.v for r in rows])
-            found.append(source.mapInArrow(_nearest(ids, held, k, query_id, chunk_id), types))
-    if not found:
-        return source.select(F.lit(None).cast(q.schema["q"].dataType).alias(query_id), F.col("c").alias(chunk_id), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+    q = queries.select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL").withColumn("dim", F.size("v"))
+    c = chunks.select(F.col(chunk_id).alias("c"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL").withColumn("dim", F.size("v"))
+    blocks, groups = max(1, -(-q.count() // block)), max(1, -(-c.count() // group))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).withColumn("g", numbers(groups))
+    right = c.withColumn("g", F.pmod(F.xxhash64("c"), F.lit(groups)).cast("int")).withColumn("b", numbers(blocks))
+    types = f"`{query_id}` {q.schema['q'].dataType.simpleString()}, `{chunk_id}` {c.schema['c'].dataType.simpleString()}, score double"
+    found = left.groupBy("b", "g", "dim").cogroup(right.groupBy("b", "g", "dim")).applyInArrow(_nearest(k, query_id, chunk_id), types)
     best = Window.partitionBy(query_id).orderBy(F.round("score", 6), chunk_id)
-    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-
-
-def _nearest(ids: list, held: np.ndarray, k: int, query_id: str, chunk_id: str) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        square = (held**2).sum(axis=1)[:, None]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            about = square - 2 * held @ v.T + (v**2).sum(axis=1)
-            # a margin for rounding: whatever may be among the k best once distances are rounded
-            edge = np.partition(about, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1 : min(k, len(v))] + 2e-6
-            at, near = np.nonzero(about <= edge)
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def _nearest(k: int, query_id: str, chunk_id: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def matrix(rows: pa.Table) -> np.ndarray:
+        flat = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return flat.reshape(rows.num_rows, -1 if len(flat) else 0)
+
+    def run(queries: pa.Table, chunks: pa.Table) -> pa.Table:
+        at, near, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if queries.num_rows and chunks.num_rows:
+            held, v = matrix(queries), matrix(chunks)
+            square, own = (held**2).sum(axis=1)[:, None], (v**2).sum(axis=1)
+            n = min(k, len(v))
+            parts = []
+            for lo in range(0, len(held), 256):
+                about = square[lo : lo + 256] - 2 * held[lo : lo + 256] @ v.T + own
+                # a margin for rounding, of the sums and of the score: whatever may be among the k best
+                edge = np.partition(about, n - 1, axis=1)[:, n - 1 : n] + 2e-6 + 1e-12 * (square[lo : lo + 256] + own.max())
+                parts.append(np.nonzero(about <= edge) + np.array([[lo], [0]]))
+            at, near = np.concatenate(parts, axis=1)
             score = ((held[at] - v[near]) ** 2).sum(axis=1)
-            yield pa.record_batch([pa.array([ids[i] for i in at]), batch.column(0).take(pa.array(near)), pa.array(score)], [query_id, chunk_id, "score"])
+        return pa.table({query_id: queries.column("q").take(pa.array(at)), chunk_id: chunks.column("c").take(pa.array(near)), "score": pa.array(score)})
 
     return run
 

@@ -438,18 +438,10 @@ def chunk_header_sections(spark, sf_dir):
     return chunk.header_sections(markdown(spark, sf_dir), "text", ("page_id",)).select("page_id", "section", "content", "h1", "h2", "h3")
 
 
-@query(f"""WITH {REPORTS} SELECT r.doc_id, '[기업: ' || target_name || ', 제목: ' || title || ']' || chr(10) || substr(text, 1, 500) AS chunk, sha256(r.file_name || chr(1) || '0') AS chunk_id
-FROM reports r JOIN documents d ON r.doc_id = d.doc_id""")
-def chunk_context_prefix(spark, sf_dir):
-    r = reports(spark, sf_dir, with_id=True).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    text = F.concat(chunk.context_prefix(F.col("target_name"), F.col("title")), F.substring("text", 1, 500))
-    return r.select("doc_id", text.alias("chunk"), chunk.chunk_id(F.col("file_name"), F.lit(0)).alias("chunk_id"))
-
-
 @query(f"""WITH {REPORTS}, w AS (SELECT doc_id, text, unnest(range(greatest(ceil((length(text) - 500) / 450.0), 0)::BIGINT + 1)) AS i FROM documents)
 SELECT r.doc_id, i::INTEGER AS chunk_index, '[기업: ' || target_name || ', 제목: ' || title || ']' || chr(10) || substr(w.text, (i * 450 + 1)::BIGINT, 500) AS chunk, sha256(r.file_name || chr(1) || i::VARCHAR) AS chunk_id
 FROM reports r JOIN w ON r.doc_id = w.doc_id""")
-def chunk_context_prefix_all(spark, sf_dir):
+def chunk_context_prefix(spark, sf_dir):
     """Every window of a document under its context prefix."""
     r = reports(spark, sf_dir, with_id=True).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     r = r.select("doc_id", "file_name", "target_name", "title", F.posexplode(chunk.fixed_windows(F.col("text"), 500, 50)).alias("chunk_index", "window"))
@@ -457,6 +449,9 @@ def chunk_context_prefix_all(spark, sf_dir):
     return r.select("doc_id", "chunk_index", text.alias("chunk"), chunk.chunk_id(F.col("file_name"), F.col("chunk_index")).alias("chunk_id"))
 
 
+QUERIES["chunk_context_prefix_all"], SQL["chunk_context_prefix_all"] = QUERIES["chunk_context_prefix"], SQL["chunk_context_prefix"]
+
+
 @query()
 def chunk_recursive_stats(spark, sf_dir):
     """Parents and children of all documents: how many, and how long."""
@@ -479,29 +474,29 @@ def chunks(spark, sf_dir):
 
 def hits(spark, sf_dir):
     v = chunks(spark, sf_dir)
-    found = retrieve.knn(v.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding"), v, K, chunk_id="vec_id")
+    found = retrieve.knn(v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v, K, chunk_id="vec_id")
     return found.withColumn("score", F.round("score", 6))
 
 
 def expanded(spark, sf_dir):
     h = hits(spark, sf_dir).join(chunks(spark, sf_dir).drop("embedding"), "vec_id").withColumn("text", F.concat(F.lit("chunk "), F.col("vec_id").cast("string")))
-    parents = table(spark, sf_dir, "documents").filter("doc_id % 4 <> 0").select(F.col("doc_id").alias("parent_id"), F.substring("text", 1, 60).alias("content"))
+    parents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent_id"), F.col("text").alias("content"))
     return retrieve.with_parent_text(retrieve.one_per_parent(h), parents)
 
 
 def passages(spark, sf_dir):
     """The three passages of each query with the report of the document of the vector's number."""
     r = reports(spark, sf_dir, with_id=True).select("doc_id", "target_name", "report_date", "title", "broker", "file_name")
-    return retrieve.top_passages(expanded(spark, sf_dir)).join(r.filter("doc_id % 9 <> 0"), F.col("vec_id") == F.col("doc_id"), "left").drop("doc_id")
+    return retrieve.top_passages(expanded(spark, sf_dir)).join(r, F.col("vec_id") == F.col("doc_id"), "left").drop("doc_id")
 
 
 HITS = """v AS (SELECT vec_id, label, CASE WHEN vec_id % 7 <> 0 THEN vec_id // 5 END AS parent_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, c.parent_id, c.label, round(list_sum(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS score FROM v q, v c WHERE q.vec_id < 10),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, c.parent_id, c.label, round(list_sum(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS score FROM v q, v c WHERE q.vec_id % 50 = 0),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank FROM p QUALIFY rank <= 5)"""
 EXPANDED = HITS + """, one AS (SELECT * FROM hits QUALIFY parent_id IS NULL OR row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) = 1),
-expanded AS (SELECT one.*, coalesce(nullif(substr(d.text, 1, 60), ''), 'chunk ' || vec_id) AS text FROM one LEFT JOIN documents d ON d.doc_id = parent_id AND d.doc_id % 4 <> 0)"""
+expanded AS (SELECT one.*, coalesce(nullif(d.text, ''), 'chunk ' || vec_id) AS text FROM one LEFT JOIN documents d ON d.doc_id = parent_id)"""
 PASSAGES = REPORTS + ", " + EXPANDED + """, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS place FROM expanded QUALIFY place <= 3),
-passages AS (SELECT top.*, r.target_name, r.report_date, r.title, r.broker, r.file_name FROM top LEFT JOIN reports r ON r.doc_id = vec_id AND r.doc_id % 9 <> 0)"""
+passages AS (SELECT top.*, r.target_name, r.report_date, r.title, r.broker, r.file_name FROM top LEFT JOIN reports r ON r.doc_id = vec_id)"""
 
 
 @query(f"WITH {HITS} SELECT query_id, vec_id, score, rank FROM hits")
@@ -509,11 +504,11 @@ def knn_topk(spark, sf_dir):
     return hits(spark, sf_dir).select("query_id", "vec_id", "score", "rank")
 
 
-@query(f"WITH {HITS.replace('FROM v q, v c WHERE q.vec_id < 10', 'FROM v q, v c WHERE q.vec_id < 10 AND c.label = 1')} SELECT query_id, vec_id, score, rank FROM hits")
+@query(f"WITH {HITS.replace('FROM v q, v c WHERE q.vec_id % 50 = 0', 'FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.label = 1')} SELECT query_id, vec_id, score, rank FROM hits")
 def knn_filtered(spark, sf_dir):
     """A metadata filter below the search (an extension)."""
     v = chunks(spark, sf_dir)
-    found = retrieve.knn(v.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding"), v.filter("label = 1"), K, chunk_id="vec_id")
+    found = retrieve.knn(v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.filter("label = 1"), K, chunk_id="vec_id")
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -556,70 +551,8 @@ def embed_search(spark, sf_dir):
     return retrieve.knn(asked, d, 1, chunk_id="doc_id")
 
 
-# The same searches for every vec_id divisible by 50, with whole parent texts and all parents and reports.
-
-
-def hits_50(spark, sf_dir, where="true"):
-    v = chunks(spark, sf_dir)
-    found = retrieve.knn(v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.filter(where), K, chunk_id="vec_id")
-    return found.withColumn("score", F.round("score", 6))
-
-
-def one_50(spark, sf_dir):
-    return retrieve.one_per_parent(hits_50(spark, sf_dir).join(chunks(spark, sf_dir).drop("embedding"), "vec_id"))
-
-
-def expanded_50(spark, sf_dir):
-    h = one_50(spark, sf_dir).withColumn("text", F.concat(F.lit("chunk "), F.col("vec_id").cast("string")))
-    return retrieve.with_parent_text(h, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent_id"), F.col("text").alias("content")))
-
-
-def passages_50(spark, sf_dir):
-    r = reports(spark, sf_dir, with_id=True).select("doc_id", "target_name", "report_date", "title", "broker", "file_name")
-    return retrieve.top_passages(expanded_50(spark, sf_dir)).join(r, F.col("vec_id") == F.col("doc_id"), "left").drop("doc_id")
-
-
-def every_50(sql: str) -> str:
-    """The SQL of a search above, for every vec_id divisible by 50 and without its cuts."""
-    for old, new in (("q.vec_id < 10", "q.vec_id % 50 = 0"), ("substr(d.text, 1, 60)", "d.text"), (" AND d.doc_id % 4 <> 0", ""), (" AND r.doc_id % 9 <> 0", "")):
-        sql = sql.replace(old, new)
-    return sql
-
-
-@query(every_50(SQL["knn_topk"]))
-def knn_topk_50(spark, sf_dir):
-    return hits_50(spark, sf_dir).select("query_id", "vec_id", "score", "rank")
-
-
-@query(every_50(SQL["knn_filtered"]))
-def knn_filtered_50(spark, sf_dir):
-    return hits_50(spark, sf_dir, "label = 1").select("query_id", "vec_id", "score", "rank")
-
-
-@query(every_50(SQL["knn_dedup_parent"]))
-def knn_dedup_parent_50(spark, sf_dir):
-    return one_50(spark, sf_dir).select("query_id", "vec_id", "parent_id", "rank")
-
-
-@query(every_50(SQL["knn_expand_parent"]))
-def knn_expand_parent_50(spark, sf_dir):
-    return expanded_50(spark, sf_dir).select("query_id", "vec_id", "rank", "text")
-
-
-@query(every_50(SQL["knn_context"]))
-def knn_context_50(spark, sf_dir):
-    return retrieve.context(passages_50(spark, sf_dir))
-
-
-@query(every_50(SQL["knn_hit_report"]))
-def knn_hit_report_50(spark, sf_dir):
-    return retrieve.hit_report(passages_50(spark, sf_dir))
-
-
-@query(every_50(SQL["knn_rerank_overlap"]))
-def knn_rerank_overlap_50(spark, sf_dir):
-    h = expanded_50(spark, sf_dir).select("query_id", "vec_id", "rank", "text")
-    return retrieve.rerank(h, F.lit("the of chunk"), F.col("text")).drop("text")
+for _name in ("topk", "filtered", "dedup_parent", "expand_parent", "context", "hit_report", "rerank_overlap"):  # their names in round 1
+    QUERIES[f"knn_{_name}_50"], SQL[f"knn_{_name}_50"] = QUERIES[f"knn_{_name}"], SQL[f"knn_{_name}"]
 
 
 # ---- guarded SQL --------------------------------------------------------------------------------------------------
@@ -729,24 +662,11 @@ def prompt_render(spark, sf_dir):
     return d.select("doc_id", X.fill("[질문]\n{a} / {b}", a=F.col("lang"), b=F.col("source")).alias("prompt"), X.joined_parts(parts).alias("answer"))
 
 
-def asked_names(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    whole = p.filter("p_partkey % 100 = 1").select(F.col("p_name").alias("name_asked"))
-    inside = p.filter("p_partkey % 100 = 2").select(F.expr("substr(p_name, 3, length(p_name) - 3)").alias("name_asked"))
-    return whole.unionByName(inside).unionByName(literals(spark, "name_asked", ["no such name"]))
-
-
-@query("""WITH n AS (SELECT DISTINCT name_asked FROM (SELECT p_name AS name_asked FROM part WHERE p_partkey % 100 = 1 UNION ALL SELECT substr(p_name, 3, length(p_name) - 3) FROM part WHERE p_partkey % 100 = 2 UNION ALL SELECT 'no such name')),
+@query("""WITH n AS (SELECT DISTINCT name_asked FROM (SELECT p_name AS name_asked FROM part UNION ALL SELECT substr(p_name, 3, length(p_name) - 3) FROM part UNION ALL SELECT 'no such name')),
 m AS (SELECT name_asked, p_name AS name, p_partkey::VARCHAR AS code FROM n JOIN part ON contains(p_name, name_asked)),
 b AS (SELECT *, row_number() OVER (PARTITION BY name_asked ORDER BY name <> name_asked, code, name) AS k FROM m)
 SELECT n.name_asked, b.name, b.code FROM n LEFT JOIN b ON n.name_asked = b.name_asked AND k = 1""")
 def ticker_resolve(spark, sf_dir):
-    s = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("code"))
-    return prices.resolve_tickers(asked_names(spark, sf_dir), s)
-
-
-@query(SQL["ticker_resolve"].replace(" WHERE p_partkey % 100 = 1", "").replace(" WHERE p_partkey % 100 = 2", ""))
-def ticker_resolve_all(spark, sf_dir):
     """Every part name, whole and from the inside."""
     p = table(spark, sf_dir, "part")
     inside = p.select(F.expr("substr(p_name, 3, length(p_name) - 3)").alias("name_asked"))
@@ -754,6 +674,9 @@ def ticker_resolve_all(spark, sf_dir):
     return prices.resolve_tickers(asked, p.select(F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("code")))
 
 
+QUERIES["ticker_resolve_all"], SQL["ticker_resolve_all"] = QUERIES["ticker_resolve"], SQL["ticker_resolve"]
+
+
 @query("""WITH p AS (SELECT o_custkey::VARCHAR AS ticker, o_orderdate::DATE AS trade_date, o_totalprice AS close, o_orderkey AS volume FROM orders),
 w AS (SELECT * FROM p WHERE trade_date >= (SELECT max(trade_date) FROM p) - 400 - 14 AND trade_date <= (SELECT max(trade_date) FROM p) - 400)
 SELECT ticker, trade_date::VARCHAR AS trade_date, close, volume FROM w QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY trade_date DESC, close DESC, volume DESC) <= 5""")

@@ -3,6 +3,7 @@
 import pytest
 
 from reportmill import queries
+from reportmill.operators.retrieve import HashingEmbedder
 
 
 @pytest.fixture(scope="module")
@@ -19,30 +20,34 @@ def small(spark, tmp_path_factory):
 
 @pytest.mark.parametrize("name", ["topk", "filtered", "dedup_parent", "expand_parent", "context", "hit_report", "rerank_overlap"])
 def test_searches_ask_every_fiftieth(spark, small, name):
-    rows = queries.QUERIES[f"knn_{name}_50"](spark, small).collect()
+    rows = queries.QUERIES[f"knn_{name}"](spark, small).collect()
     assert {r.query_id for r in rows} == {0, 50, 100, 150}
-    assert not any(cut in queries.SQL[f"knn_{name}_50"] for cut in ("vec_id < 10", "1, 60", "% 4 <>", "% 9 <>"))
+    assert not any(cut in queries.SQL[f"knn_{name}"] for cut in ("vec_id < 10", "1, 60", "% 4 <>", "% 9 <>"))
 
 
 def test_whole_parents(spark, small):
-    texts = {r.vec_id: r.text for r in queries.knn_expand_parent_50(spark, small).collect()}
+    texts = {r.vec_id: r.text for r in queries.knn_expand_parent(spark, small).collect()}
     assert texts[50].endswith("end 10") and texts[100].endswith("end 20") and texts[0] == "chunk 0"
-    context = {r.query_id: r.context for r in queries.knn_context_50(spark, small).collect()}
+    context = {r.query_id: r.context for r in queries.knn_context(spark, small).collect()}
     assert "end 10" in context[50] and "알수없음" not in context[50] and "알수없음" in context[150]
 
 
 def test_embed_search_asks_every_fiftieth(spark, small):
-    assert {r.query_id for r in queries.embed_search(spark, small).collect()} == {0, 50, 100}
+    """Against a plain loop over all documents."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    vectors = dict(zip(texts, HashingEmbedder()(list(texts.values()), "retrieval_document").astype(float), strict=True))
+    want = {q: min((round(float(((vectors[q] - v) ** 2).sum()), 6), i) for i, v in vectors.items()) for q in (0, 50, 100)}
+    assert {r.query_id: (round(r.score, 6), r.doc_id) for r in queries.embed_search(spark, small).collect()} == want
 
 
 def test_every_part_name(spark, small):
-    rows = {r.name_asked: r.code for r in queries.ticker_resolve_all(spark, small).collect()}
+    rows = {r.name_asked: r.code for r in queries.ticker_resolve(spark, small).collect()}
     assert len(rows) == 120 + len({f"part name {i:03}"[2:-1] for i in range(120)}) + 1
     assert all(rows[f"part name {i:03}"] == str(i) for i in range(120)) and rows["no such name"] is None
 
 
 def test_every_window_under_its_prefix(spark, small):
-    rows = [r for r in queries.chunk_context_prefix_all(spark, small).collect() if r.doc_id == 7]
+    rows = [r for r in queries.chunk_context_prefix(spark, small).collect() if r.doc_id == 7]
     first = {r.chunk_index: r.chunk.split("\n", 1) for r in rows}
     text = spark.read.parquet(f"{small}/documents.parquet").filter("doc_id = 7").first().text
     assert len({r.chunk_id for r in rows}) == len(rows) == 4 and {x[0][:4] for x in first.values()} == {"[기업:"[:4]}
