@@ -1,10 +1,12 @@
 """Suffix-array dedup by prefix-free parsing.
 
-Rolling-hash triggers cut the corpus into phrases that overlap, so that no window crosses one. The dictionary holds
-each different phrase once, the parse where phrases occur, in corpus order. Phrases whose trigger no other phrase has
-are settled by the parse alone. The others' suffixes are sorted, bucket by bucket, by prefix doubling (the suffix array
-of the dictionary, as deep as a window); within equal suffixes the parse gives the corpus order, so the first
-occurrence of a string is the first of its class. Copies cost one phrase entry each, never a suffix.
+Grams whose rolling hash is divisible by a number are triggers: texts are parsed into phrases that end at a trigger, and
+what follows a phrase there, as deep as a window, is its continuation in the parse. The dictionary holds each different
+phrase with continuation once, the parse where they occur, in corpus order; copies are settled by the parse alone.
+Dictionary and parse are dealt out by trigger. In a bucket two arrays are sorted: the phrases' suffixes (as reversed
+phrases, so that all phrases that share a suffix of any length are neighbours) and the continuations. A window is a
+suffix of a phrase and a beginning of its continuation, so windows are equal where both arrays put them together; the
+two ranks give the order of the windows, and the parse gives the corpus order of equal ones, of which the first stays.
 """
 
 from __future__ import annotations
@@ -16,41 +18,62 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, slices
+from .common import slices
 from .repeats import Rule, cover, repeated
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def suffix_ranks(units: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """The rank of each window at the starts among the sorted suffixes, as deep as `window`; equal windows share a rank."""
-    rank, depth = units.astype(U64), 1
-    if units.dtype == np.uint8:
-        for size in (1, 2, 4):  # up to eight bytes are their own rank
-            if 2 * size > window:
-                break
-            after = np.zeros(len(rank), U64)
-            after[:-size] = rank[size:]
-            rank, depth = (rank << U64(8 * size)) | after, 2 * size
-    if depth == 8 or len(rank):
-        rank = np.unique(rank, return_inverse=True)[1].astype(U64)
-    while depth < window:
-        step = min(depth, window - depth)
-        after = np.zeros(len(rank), U64)
-        after[: len(rank) - step] = rank[step:]
-        rank = np.unique((rank << U64(32)) | after, return_inverse=True)[1].astype(U64)
-        depth += step
-    return rank[starts]
-
-
-def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = 32, texts: bool = True, hot: int = 20_000) -> DataFrame:
+def sorted_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray, step: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each string data[start], data[start + step], ... of `size` bytes among all, sorted as deep as `depth`;
+    and in that order, how much each shares with the one before (the longest common prefixes of the array)."""
+    wide = -(-depth // 8) * 8
+    text = np.zeros((len(start), wide), np.uint8)
+    for i in range(depth):
+        on = np.flatnonzero(size > i)
+        text[on, i] = data[start[on] + step * i]
+    order = np.lexsort(text.view(">u8").T[::-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    same = text[order][1:] == text[order][:-1]
+    common = np.where(same.all(axis=1), wide, same.argmin(axis=1))
+    return rank, np.append(-1, common)
+
+
+def window_ranks(data: np.ndarray, first: np.ndarray, trigger: np.ndarray, window: int) -> np.ndarray:
+    """Numbers of the windows of phrases, one phrase after the other, the same for equal ones.
+
+    The phrase that begins at first[i] has its trigger so many bytes on. A window that begins `left` bytes before the
+    trigger is a suffix of the phrase and the first window - left bytes from the trigger on; its rank among those with
+    the same `left` follows from the two sorted arrays.
+    """
+    size = np.diff(first)
+    n = np.maximum(size - window + 1, 0)
+    out, at = np.zeros(n.sum(), np.int64), np.cumsum(n) - n
+    if not len(out):
+        return out
+    middle = first[:-1] + trigger
+    suffix, shared = sorted_strings(data, middle - 1, trigger, -1, window)
+    after, common = sorted_strings(data, middle, first[1:] - middle, 1, window)
+    used = 0
+    for left in range(int(trigger.max()) + 1):
+        on = np.flatnonzero((trigger >= left) & (trigger - left < n))
+        if len(on):
+            key = (np.cumsum(shared < left)[suffix[on]] << 32) | np.cumsum(common < window - left)[after[on]]
+            different, number = np.unique(key, return_inverse=True)
+            out[at[on] + trigger[on] - left] = used + number
+            used += len(different)
+    return out
+
+
+def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = 32, texts: bool = True, hot: int = 20_000, modulus: int = 48) -> DataFrame:
     """Per row of docs(doc_id, text): its UTF-8 bytes, those removed and in how many runs, and the remaining bytes.
 
     A byte goes if it is covered by a `window`-byte string that also starts earlier: in a document with a smaller
     doc_id, or earlier in the same one. A null text is empty; rows without doc_id come after all others; rows that
     repeat a doc_id with the same text have equal results. Other columns are ignored. texts=False leaves kept null.
     """
-    rule = Rule("byte", window, min(gram, window), True, suffix_ranks, hot)
+    rule = Rule("byte", window, min(gram, window), True, window_ranks, hot, modulus)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):

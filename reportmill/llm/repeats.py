@@ -1,6 +1,6 @@
 """Which windows of W units (words or bytes) also start earlier in the corpus: the plan that two operators share.
 
-1. Every window has one trigger: the gram inside it with the smallest rolling hash. Neighbouring windows with the
+1. Every window has one trigger: a gram inside it that its rolling hash picks (Rule.modulus). Neighbouring windows with the
    same trigger form a phrase, so a text parses into phrases that overlap by W - 1 units and any window lies in one
    phrase only. Equal windows have equal triggers, wherever they are.
 2. Phrases go, as hashes, to the bucket of their trigger. There the first occurrence of each phrase in corpus order
@@ -32,7 +32,7 @@ from .common import (
 
 ENTRY = np.dtype([("a", "<u8"), ("p", "<u8"), ("d", "<i8"), ("r", "<u4")])
 DECISION = np.dtype([("d", "<i8"), ("v", "<i8")])
-HEAD = np.dtype([("d", "<i8"), ("s", "<u8"), ("r", "<u4"), ("n", "<u4")])
+HEAD = np.dtype([("d", "<i8"), ("s", "<u8"), ("r", "<u4"), ("n", "<u4"), ("t", "<u4")])
 WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("d", "<i8"), ("s", "<u8"), ("r", "<u4"), ("o", "<u4")])
 FULL, BY_TEXT, BY_WINDOW = 0xFFFF, 0xFFFF0000, 0xFFFF0001
 DECISIONS = "ord long, v long"
@@ -41,15 +41,18 @@ DECISIONS = "ord long, v long"
 @dataclass(frozen=True)
 class Rule:
     """unit: 'word' or 'byte'. within: an earlier place in the same document counts too.
-    classes(units, starts, window) numbers the windows at the starts so that equal ones have equal numbers.
-    hot: a trigger with more different phrases is compared by window hashes."""
+    modulus: a window's trigger is its first gram whose rolling hash it divides, if there is one; for 0 and elsewhere the
+    gram of least hash. classes(units, first, trigger, window) numbers the windows of phrases that begin at first (and the
+    last ends at first[-1]) and have their trigger so many units on, one phrase after the other, so that equal windows
+    have equal numbers. hot: a trigger with more different phrases is compared by window hashes."""
 
     unit: str
     window: int
     gram: int
     within: bool
-    classes: Callable[[np.ndarray, np.ndarray, int], np.ndarray]
+    classes: Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
     hot: int = 20_000
+    modulus: int = 0
 
 
 def units(rule: Rule, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,7 +81,7 @@ def cuts(first: np.ndarray, block: int) -> list[tuple[int, int]]:
 
 
 def phrases(rule: Rule, u: np.ndarray, first: np.ndarray, block: int = 1 << 17) -> dict[str, np.ndarray]:
-    """Of each phrase: its row (doc), number in the row (i), first and last window (lo, hi), trigger (a) and content (p)."""
+    """Of each phrase: its row (doc), number in the row (i), first and last window (lo, hi), trigger (a), how far on it is (t) and content (p)."""
     w, g = rule.window, rule.gram
     valid = np.zeros(len(u) + 2, np.int8)
     long = np.flatnonzero(np.diff(first) >= w)
@@ -103,15 +106,19 @@ def phrases(rule: Rule, u: np.ndarray, first: np.ndarray, block: int = 1 << 17)
         if span > size:
             m = np.minimum(m[: len(m) - (span - size)], m[span - size :])
         trigger = (m & U64((1 << 18) - 1)).astype(np.int64)
+        if rule.modulus:
+            hit = np.where(h % U64(rule.modulus) == 0, np.arange(n), 1 << 30)
+            hit = np.minimum.accumulate(hit[::-1])[::-1][: len(trigger)]
+            trigger = np.where(hit < np.arange(len(trigger)) + span, hit, trigger)
         same = np.zeros(len(ok) + 1, bool)
         same[1:-1] = (trigger[1:] == trigger[:-1]) & ok[1:] & ok[:-1]
         lo, hi = np.flatnonzero(ok & ~same[:-1]), np.flatnonzero(ok & ~same[1:])
         a = trigger[lo]
         p = span_hash(c, lo, hi + w) ^ mix(((hi - lo).astype(U64) << U64(20)) + (a - lo).astype(U64))
-        found.append((lo + at, hi + at, h[a], mix(p)))
-    lo, hi, a, p = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, t) for t in (np.int64, np.int64, U64, U64))
+        found.append((lo + at, hi + at, h[a], mix(p), a - lo))
+    lo, hi, a, p, t = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, t) for t in (np.int64, np.int64, U64, U64, np.int64))
     doc = np.searchsorted(first, lo, "right") - 1
-    return {"doc": doc, "i": np.arange(len(doc)) - np.searchsorted(doc, doc), "lo": lo, "hi": hi, "a": a, "p": p}
+    return {"doc": doc, "i": np.arange(len(doc)) - np.searchsorted(doc, doc), "lo": lo, "hi": hi, "a": a, "p": p, "t": t}
 
 
 def parsed(rule: Rule, batch: pa.RecordBatch, text: int) -> tuple[dict[str, np.ndarray], tuple]:
@@ -242,7 +249,7 @@ def to_compare(rule: Rule, buckets: int) -> Callable:
                 part = text[part]
                 bytes_, ends = gather(data, start[ph["lo"][part]], end[ph["hi"][part] + rule.window - 1])
                 head = np.empty(len(part), HEAD)
-                head["d"], head["s"], head["r"], head["n"] = d[part], place[part], ph["r"][part], np.diff(ends, prepend=0)
+                head["d"], head["s"], head["r"], head["n"], head["t"] = d[part], place[part], ph["r"][part], np.diff(ends, prepend=0), ph["t"][part]
                 out.append((int(r), 0, len(part).to_bytes(4, "little") + planes(head) + bytes_.tobytes()))
             if len(hot := at[how == BY_WINDOW]):
                 n = ph["hi"][hot] - ph["lo"][hot] + 1
@@ -309,7 +316,7 @@ def at_compare(rule: Rule) -> Callable:
                 o = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 k = np.repeat(np.arange(len(head)), n)
                 x = np.empty(len(k), small)
-                x["c"] = rule.classes(u, first[k] + o, rule.window)
+                x["c"] = rule.classes(u, first, head["t"].astype(np.int64), rule.window)
                 x["d"], x["s"], x["r"], x["o"] = head["d"][k], head["s"][k] + o.astype(U64), head["r"][k], o
                 x, repeat = seen_before(rule, x, np.lexsort((x["s"], x["d"], x["c"])), ("c",))
                 yield decisions(ranges(x["d"][repeat], x["r"][repeat], x["o"][repeat]))

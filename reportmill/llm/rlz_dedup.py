@@ -1,10 +1,11 @@
-"""Substring dedup by Relative Lempel-Ziv parsing.
+"""Substring dedup by factors against indexed blocks of phrases, after Relative Lempel-Ziv parsing.
 
-A document is factored greedily against reference blocks. A block is a bucket of phrases of the whole corpus, indexed
-by trigger; a phrase can only match inside the block of its trigger, so looking up every phrase of a document factors
-it against every indexed block. Factors grow phrase by phrase as long as an earlier document holds the phrase. Where a
-factor ends, the windows of the phrases at its boundary are looked up one by one in the block's index of windows.
-Factors of at least `window` words are the duplicate spans.
+The corpus itself is the reference. It is cut into phrases at word grams that a hash picks, so that any window of
+`window` words lies in one phrase, and a reference block is a bucket of phrases, indexed by trigger. A document's
+phrases are looked up in the blocks that could hold them. Phrases that an earlier document has are factors, which grow
+phrase by phrase; at a factor's boundaries, the windows of phrases that are not there as a whole are looked up one by
+one in the block's index of windows. What factors and windows cover are the duplicate spans. This differs from a greedy
+parse in that factors end at phrase ends and all blocks answer at once; the spans that it gives are the same.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from .repeats import Rule, cover, repeated
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start:int,end:int>>"
 
 
-def window_index(words: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """A block's index: the number of each window among the different ones."""
-    h = mix(span_hash(prefix_sums(words), starts, starts + window))
-    return np.unique(h, return_inverse=True)[1]
+def window_index(words: np.ndarray, first: np.ndarray, trigger: np.ndarray, window: int) -> np.ndarray:
+    """A block's index: the number of each window of its phrases among the different ones."""
+    n = np.maximum(np.diff(first) - window + 1, 0)
+    starts = np.arange(n.sum()) + np.repeat(first[:-1] - (np.cumsum(n) - n), n)
+    return np.unique(mix(span_hash(prefix_sums(words), starts, starts + window)), return_inverse=True)[1]
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5, texts: bool = True, hot: int = 20_000) -> DataFrame:

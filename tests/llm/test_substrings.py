@@ -4,9 +4,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
-from reportmill.llm.pfp_dedup import suffix_dedup
+from reportmill.llm.pfp_dedup import sorted_strings, suffix_dedup, window_ranks
 from reportmill.llm.rlz_dedup import substring_dedup
 
 SCHEMA = "doc_id long, text string, ord string, votes string"
@@ -89,3 +90,21 @@ def test_spans_and_repeated_rows(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert substring_dedup(df).count() == 0 and suffix_dedup(df).count() == 0
+
+
+def test_arrays_of_dictionary_and_parse():
+    """Sorted suffixes and continuations with what neighbours share, and windows that are equal where both agree."""
+    r = random.Random(6)
+    parts = [bytes(r.choice(b"ab\0\xff") for _ in range(r.randint(6, 16))) for _ in range(300)]
+    first = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    trigger = np.array([r.randrange(0, 3) for _ in parts])
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    rank, common = sorted_strings(data, first[:-1] + trigger, np.diff(first) - trigger, 1, 6)
+    order = np.argsort(rank)
+    after = [(p[t:] + bytes(6))[:6] for p, t in zip(parts, trigger, strict=True)]
+    assert [after[k] for k in order] == sorted(after)
+    assert all(after[a][:c] == after[b][:c] and (c >= 6 or after[a][c] != after[b][c]) for a, b, c in zip(order, order[1:], common[1:], strict=False))
+    got = window_ranks(data, first, trigger, 6)
+    want = [(t - o, p[o : o + 6]) for p, t in zip(parts, trigger.tolist(), strict=True) for o in range(len(p) - 5)]
+    inside = [k for k, (left, _) in enumerate(want) if left >= 0]
+    assert all((got[a] == got[b]) == (want[a] == want[b]) for a in inside[:200] for b in inside[:200])
