@@ -19,15 +19,28 @@ OUT = "query_id long, query_key long, vec_id long, score long"
 
 
 def usable(vector: Column) -> Column:
-    """No null and no component that is null, not finite or beyond a long once scaled."""
-    return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2.0**54)), F.lit(False))
+    """No null and no component that is null or not finite."""
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
 
 
 def matrix(table: pa.Table, column: str, scale: float) -> np.ndarray:
     values = table.column(column).combine_chunks()
     values = values.cast(pa.large_list(pa.float64()))
     flat = values.flatten().to_numpy(zero_copy_only=False)
-    return np.floor(flat * scale).astype(np.int64).reshape(table.num_rows, -1 if table.num_rows and len(flat) else 0)
+    whole = np.floor(flat * scale)
+    if (np.abs(whole) >= 2.0**62).any():
+        raise OverflowError("a scaled component is beyond a long")
+    return whole.astype(np.int64).reshape(table.num_rows, -1 if table.num_rows and len(flat) else 0)
+
+
+def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products; an error where one is beyond a long."""
+    if vectors.size and float(np.abs(vectors).max()) * float(np.abs(query).max()) * len(query) < 2.0**62:
+        return vectors @ query
+    exact = vectors.astype(object) @ query.astype(object) if vectors.size else np.zeros(len(vectors), object)
+    if any(not -(1 << 63) <= x < 1 << 63 for x in exact):
+        raise OverflowError("a score is beyond a long")
+    return exact.astype(np.int64)
 
 
 def bounds(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -56,7 +69,7 @@ def best(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndar
             near = np.argpartition(-bound, m - 1)[:m]
             new = near[bound[near] > -np.inf]
             new = np.setdiff1d(new, seen, assume_unique=True)
-            seen, score = np.concatenate([seen, new]), np.concatenate([score, vectors[new] @ q])
+            seen, score = np.concatenate([seen, new]), np.concatenate([score, products(vectors[new], q)])
             left = bound[near].min() if m < len(bound) else -np.inf  # no bound left is higher
             order = np.lexsort((ids[seen], -score))[:k]
             if m == len(bound) or (len(order) == k and score[order[-1]] > left):
@@ -70,9 +83,10 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0,
     """query_id, rank, vec_id, score: for each row of vectors(vec_id, embedding) whose vec_id is divisible by `every`,
     its k highest inner products of floor(scale * x) with the other rows, ties to the smaller vec_id; all, if fewer.
 
-    Rows without vec_id, and vectors that are null or hold a null, not finite or overlong component, take no part; nor
+    Rows without vec_id, and vectors that are null or hold a null or not finite component, take no part; nor
     do vectors of another length than the query's. Rows with the query's own vec_id are not its candidates. Repeated
-    query rows count once; other repeated rows each count. Other columns are ignored.
+    query rows count once; other repeated rows each count. A scaled component of 2**62 or more, and a score that is no long,
+    are errors. An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))

@@ -87,6 +87,12 @@ class Stream:
             pass
         return self.held[self.at : self.at + n]
 
+    def beyond(self, used: int, n: int) -> bytes:
+        """Up to n bytes from `used` on, at least one unless the file ends."""
+        while len(self.held) - self.at <= used and self.more():
+            pass
+        return self.held[self.at + used : self.at + used + n]
+
     def step(self, n: int) -> None:
         ahead = n - (len(self.held) - self.at)
         if ahead <= 0:
@@ -166,7 +172,7 @@ def gzip_record(stream: Stream, start: bytes, wanted, payloads: bool) -> Iterato
                 total = struct.unpack("<I", extra[4:8])[0]
             extra = extra[4 + size :]
     inflate = zlib.decompressobj(31)
-    held, used = b"", 0
+    held, used = bytearray(), 0
 
     def inflated(until) -> None:
         """Inflate until the condition holds or the member ends."""
@@ -176,7 +182,7 @@ def gzip_record(stream: Stream, start: bytes, wanted, payloads: bool) -> Iterato
             if tail:
                 held += inflate.decompress(tail, 1 << 16)
                 continue
-            data = stream.peek(used + (1 << 14))[used:]
+            data = stream.beyond(used, 1 << 14)
             if not data:
                 raise ValueError("a gzip member is cut short")
             used += len(data)
@@ -184,15 +190,15 @@ def gzip_record(stream: Stream, start: bytes, wanted, payloads: bool) -> Iterato
 
     inflated(lambda: b"\r\n\r\n" in held)
     end = held.find(b"\r\n\r\n")
-    headers = parse(held[:end])
+    headers = parse(bytes(held[:end]))
     got, length = fields(headers), int(headers["content-length"])
     if wanted(got):
         need = end + 4 + (length if payloads else min(length, 1 << 12))
         inflated(lambda: len(held) >= need)
-        yield from shaped(got, held[end + 4 : end + 4 + length], length, payloads)
+        yield from shaped(got, bytes(held[end + 4 : end + 4 + length]), length, payloads)
     if total is None:  # the member's end is where inflating ends
         while not inflate.eof:
-            held = b""
+            held = bytearray()
             inflated(lambda: len(held) > 1 << 20)
         total = used - len(inflate.unused_data)
     stream.step(total)

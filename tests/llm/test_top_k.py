@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from reportmill.llm.vafile import bounds, top_k
+from reportmill.llm.vafile import bounds, products, top_k
 
 SCHEMA = "vec_id long, embedding array<float>, label int, dim string, query_key string"
 
@@ -48,3 +48,13 @@ def test_bounds_are_upper_bounds():
     r = np.random.default_rng(2)
     v, q = r.integers(-3000, 3000, (300, 24)), r.integers(-3000, 3000, (20, 24))
     assert (bounds(q, v) >= q @ v.T).all()
+
+
+def test_large_components(spark):
+    rows = [(50, [2.0**22, 3.0]), (1, [2.0**20, 1.0]), (2, [-(2.0**22), 1.0])]
+    got = [tuple(x) for x in top_k(table(spark, rows)).collect()]
+    assert got == [(50, 1, 1, 2**58 + 768 * 256), (50, 2, 2, -(2**60) + 768 * 256)]
+    v = np.array([[2**40, 2**40], [2**40, -(2**40)]])
+    with pytest.raises(OverflowError):
+        products(v, np.array([2**30, -(2**30)]))
+    assert products(v[:1], np.array([2**30, -(2**30)])).tolist() == [0]

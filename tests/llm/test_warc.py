@@ -3,6 +3,8 @@
 import base64
 import gzip
 import hashlib
+import random
+import time
 from collections import Counter
 
 import pytest
@@ -84,3 +86,16 @@ def test_empty(spark, tmp_path):
     path = f"file://{tmp_path}/a"
     warc.archive_pages(spark.createDataFrame([], SCHEMA), path)
     assert warc.read_pages(spark, path).count() == 0
+
+
+def test_large_gzip_records_are_read_in_one_pass(spark, tmp_path):
+    """64 MB that hardly compress: time follows the size, not its square."""
+    data = random.Random(1).randbytes(48 << 20).hex()[: 64 << 20]
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + data.encode()
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: {len(block)}\r\n\r\n".encode()
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(warc.member(head + block + b"\r\n\r\n", 1))
+    began = time.process_time()
+    with path.open("rb") as f:
+        [(got, length, payload)] = list(warc.records(warc.Stream(f), lambda _: True, True))
+    assert length == len(data) and payload == data.encode() and time.process_time() - began < 10
