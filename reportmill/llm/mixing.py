@@ -105,11 +105,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: floa
 
 
 def mixed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The rows of docs that the mix takes, as often as it takes them, with the columns of docs."""
+    """The rows of docs that the mix takes, as often as it takes them, with the columns of docs, whatever their names."""
     hashed = place(F.col("doc_id"), F.col("text"))
     sized = written(docs.select(F.col("source").cast("string").alias("source"), size_in_words(F.col("text")).alias("size"), hashed.alias("place")), "sizes")
-    out = with_plan(docs, mixing_plan(sized, weights, share, most), hashed)
-    return out.withColumn("_again", F.explode(F.expr("array_repeat(1, _times)"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("source").cast("string").alias("source"), hashed.alias("place"))
+    out = with_plan(rows, mixing_plan(sized, weights, share, most), F.col("place"))
+    return out.withColumn("again", F.explode(F.expr("array_repeat(1, _times)"))).select("row.*")
 
 
 def _words_sql() -> str:

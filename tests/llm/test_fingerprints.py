@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from reportmill.llm.ctph import LETTERS, block_sizes, fingerprint_documents, fingerprints, likeness
+from reportmill.llm.ctph import LETTERS, RUN, block_sizes, fingerprint_documents, fingerprints, likeness
 
 SCHEMA = "doc_id long, text string, ord string, bucket string, tail string"
 
@@ -83,3 +83,39 @@ def test_one_empty_and_repeated(spark):
     assert x.near_next == 1.0 and x.n_chars == 360
     rows = [(1, "a b c", "", "", ""), (1, "a b c", "", "", ""), (None, "x y", "", "", ""), (None, None, "", "", "")]
     assert sorted((x.doc_id is None, x.n_chars) for x in fingerprint_documents(spark.createDataFrame(rows, SCHEMA)).collect()) == [(False, 5), (False, 5), (True, 0), (True, 3)]
+
+
+def plain_likeness(a, b):
+    n, m = len(a), len(b)
+    if min(n, m) >= 2 * RUN and not any(a[i : i + RUN] in b for i in range(n - RUN + 1)):
+        return 0.0
+    return 1 - distance(a, b) / max(n, m, 1)
+
+
+def plain_compare(f, g):
+    """Of two shown fingerprints: at the same block size both signatures, at twice the size those of that size."""
+    (s, a1, a2), (t, b1, b2) = ((int(x), y, z) for x, y, z in (v.split(":") for v in (f, g)))
+    pairs = [(a1, b1), (a2, b2)] if s == t else [(a1, b2)] if s == 2 * t else [(a2, b1)] if t == 2 * s else []
+    return max([0.0, *(plain_likeness(a, b) for a, b in pairs)])
+
+
+def test_documents_end_to_end(spark):
+    """Edited texts, and the likeness to them and to the next documents, against plain loops over all documents."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdé𝒳") for _ in range(r.randint(1, 7)))
+    texts = [" ".join(word() for _ in range(r.choice([0, 3, 80, 400]))) for _ in range(25)]
+    texts += [texts[2], texts[2] + " and more", texts[3], None, "", "x" * 3000]
+    df = spark.createDataFrame([(7 * i, t, "a", "b", "c") for i, t in enumerate(texts)], SCHEMA).repartition(4)
+    got = {x.doc_id // 7: x for x in fingerprint_documents(df).collect()}
+    texts = [t or "" for t in texts]
+    own = {i: got[i].fingerprint for i in got}
+    for i, t in enumerate(texts):
+        after = (i + 1) % len(texts)
+        half = len(t) // 2
+        edited = t[: len(t) - half] + texts[after][:half]
+        x = got[i]
+        assert (x.n_chars, x.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert x.near_edited == pytest.approx(plain_compare(x.fingerprint, x.edited_fingerprint))
+        assert x.near_next == pytest.approx(plain_compare(x.fingerprint, own[after]))
+    assert all((own[i] == own[j]) or texts[i] != texts[j] for i in own for j in own)
+    assert sum(x.near_edited > 0 for x in got.values()) > 5

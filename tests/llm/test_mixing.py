@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from reportmill.llm.mixing import mix_sources, mixed, targets
 
@@ -71,3 +72,12 @@ def test_empty(spark):
     assert mix_sources(df).count() == 0 and mixed(df).count() == 0
     nothing = spark.createDataFrame([(1, None, "a", 0, 0), (2, "", None, 0, 0)], SCHEMA)
     assert [(x.size, x.source_size, x.target, x.taken) for x in mix_sources(nothing).collect()] == [(0, 0, 0.0, 0)] * 2
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(i, f"w{i} x y", "ab"[i % 2]) for i in range(40)]
+    names = ("_source", "_times", "_copies", "_cut", "_again", "_target", "again", "row", "place")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({n: F.lit(n) for n in names})
+    out = mixed(df).collect()
+    assert out and all(r[n] == n for r in out for n in names) and mixed(df).columns == df.columns
+    assert mixed(df.limit(0)).count() == 0
