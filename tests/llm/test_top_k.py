@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from reportmill.llm.vafile import bounds, products, top_k
+from reportmill.llm.vafile import bounds, cells, products, top_k
 
 SCHEMA = "vec_id long, embedding array<float>, label int, dim string, query_key string"
 
@@ -44,10 +44,35 @@ def test_repeated_few_and_none(spark):
     assert top_k(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_bounds_are_upper_bounds():
+def test_many_near_copies_take_more_rounds(spark):
+    """Wide cells can't tell the copies of a third of the rows apart, nor their order by id."""
+    r = random.Random(3)
+    far = [10 * r.random() for _ in range(8)]
+    rows = [(i, [r.uniform(0, 10) for _ in range(8)]) for i in range(300)] + [(300 + i, [x + i % 7 / 256 for x in far]) for i in range(120)] + [(450 + i // 3, far) for i in range(60)]
+    for first in (1, 4):
+        got = {tuple(x) for x in top_k(table(spark, rows), group=100, first=first).collect()}
+        assert got == brute(rows, 50, 5)
+
+
+def test_zero_queries_are_done_at_once(spark):
+    rows = [(i, [0.0, 0.0] if i % 50 == 0 else [float(i), -1.0]) for i in range(1, 200)]
+    assert {tuple(x) for x in top_k(table(spark, rows)).collect()} == brute(rows, 50, 5)
+
+
+@pytest.mark.parametrize("size", [100, 3000, 2**40])
+def test_bounds_are_upper_bounds(size):
     r = np.random.default_rng(2)
-    v, q = r.integers(-3000, 3000, (300, 24)), r.integers(-3000, 3000, (20, 24))
-    assert (bounds(q, v) >= q @ v.T).all()
+    v, q = r.integers(-size, size, (300, 24)), r.integers(-3000, 3000, (20, 24))
+    cell, shift = cells(v.ravel(), np.full(300, 24))
+    got, exact = bounds(q, cell.reshape(300, 24), shift), q @ v.T
+    assert (got >= exact).all()
+    assert size > 100 or (got == exact).all()
+    assert size == 100 or (shift > 0).all()
+
+
+def test_cells_of_empty_and_single_vectors():
+    cell, shift = cells(np.array([127, -128, 128, -129, 0]), np.array([0, 2, 0, 1, 1, 1, 0]))
+    assert shift.tolist() == [0, 0, 0, 1, 1, 0, 0] and cell.tolist() == [127, -128, 64, -65, 0]
 
 
 def test_large_components(spark):
@@ -56,5 +81,5 @@ def test_large_components(spark):
     assert got == [(50, 1, 1, 2**58 + 768 * 256), (50, 2, 2, -(2**60) + 768 * 256)]
     v = np.array([[2**40, 2**40], [2**40, -(2**40)]])
     with pytest.raises(OverflowError):
-        products(v, np.array([2**30, -(2**30)]))
-    assert products(v[:1], np.array([2**30, -(2**30)])).tolist() == [0]
+        products(v, np.array([[2**30, -(2**30)]] * 2))
+    assert products(v[:1], np.array([[2**30, -(2**30)]])).tolist() == [0]
