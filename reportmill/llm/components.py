@@ -94,8 +94,9 @@ def components(edges: DataFrame, most: int = EDGES) -> DataFrame:
     return out
 
 
-#: Members of one bucket that a task compares with as many others at once, and pairs that it looks at at once.
-BLOCK, PAIRS = 512, 1 << 16
+#: Members of one bucket that a task compares with as many others at once, pairs that it looks at at once, and pairs that
+#: it asks to be judged at once.
+BLOCK, PAIRS, ASKED = 512, 1 << 16, 1024
 
 
 def blocked(open_: DataFrame) -> DataFrame:
@@ -112,7 +113,14 @@ class Judge(Protocol):
     def may(self, key: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Which pairs, each of them in the bucket `key`, may be links: vectorised, and true for all that are."""
 
-    def link(self, x: int, y: int) -> bool: ...
+    def links(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which of these pairs are links."""
+
+
+def root(x: int, up: dict[int, int]) -> int:
+    while (y := up.get(x, x)) != x:
+        x = y
+    return x
 
 
 def settled(open_: DataFrame, payload: DataFrame, judge: Callable[[pa.Table], Judge]) -> DataFrame:
@@ -126,12 +134,13 @@ def settled(open_: DataFrame, payload: DataFrame, judge: Callable[[pa.Table], Ju
     dealt = dealt.join(payload, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict[int, int] = {}
+        joined: dict[int, int] = {}
 
-        def root(x: int) -> int:
-            while (y := up.get(x, x)) != x:
-                x = y
-            return x
+        def join(v: int, w: int, up: dict[int, int]) -> bool:
+            """Whether the groups were apart in `up`; they aren't from then on."""
+            p, q = root(v, up), root(w, up)
+            up[max(p, q)] = min(p, q)
+            return p != q
 
         def links(rows: pa.Table) -> pa.RecordBatch:
             rows = rows.combine_chunks()
@@ -141,11 +150,17 @@ def settled(open_: DataFrame, payload: DataFrame, judge: Callable[[pa.Table], Ju
                 apart = g[x] != g[y]
                 x, y = x[apart], y[apart]
                 near = asked.may(key[x], x, y) if len(x) else apart[:0]
-                for v, w in zip(x[near].tolist(), y[near].tolist(), strict=True):
-                    p, q = root(int(g[v])), root(int(g[w]))
-                    if p != q and asked.link(v, w):
-                        found.append((v, w))
-                        up[max(p, q)] = min(p, q)
+                x, y = x[near], y[near]
+                hoped: dict[int, int] = {}  # pairs that would join all groups, if they were links, come first
+                order = np.argsort([not join(root(v, joined), root(w, joined), hoped) for v, w in zip(g[x].tolist(), g[y].tolist(), strict=True)], kind="stable")
+                x, y = x[order], y[order]
+                for lo in range(0, len(x), ASKED):
+                    p, q = x[lo : lo + ASKED], y[lo : lo + ASKED]
+                    apart = np.array([root(v, joined) != root(w, joined) for v, w in zip(g[p].tolist(), g[q].tolist(), strict=True)])
+                    p, q = p[apart], q[apart]
+                    if len(p):
+                        linked = asked.links(p, q)
+                        found += [(v, w) for v, w in zip(p[linked].tolist(), q[linked].tolist(), strict=True) if join(int(g[v]), int(g[w]), joined)]
             v, w = np.array(found, np.int64).reshape(-1, 2).T
             return pa.record_batch([pa.array(np.minimum(node[v], node[w])), pa.array(np.maximum(node[v], node[w]))], ["a", "b"])
 

@@ -144,8 +144,9 @@ class Sets:
         near[at] = self.bands[x, first] == key[at].view(U64)
         return near
 
-    def link(self, x: int, y: int) -> bool:
-        return jaccard(*(c[k].as_py() for k in (x, y) for c in (self.items, self.weights))) >= self.threshold - 1e-12
+    def links(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        alike = [jaccard(*(c[k].as_py() for k in pair for c in (self.items, self.weights))) for pair in zip(x.tolist(), y.tolist(), strict=True)]
+        return np.array(alike) >= self.threshold - 1e-12
 
 
 def signed(docs: DataFrame, size: int, bands: int, band_rows: int, weigh: Weigh) -> DataFrame:
