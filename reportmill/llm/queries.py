@@ -18,6 +18,7 @@ from .mixing import mix_sources
 from .packing import pack
 from .pfp_dedup import suffix_dedup
 from .rlz_dedup import substring_dedup
+from .tokencount import token_counts
 from .vafile import top_k
 
 
@@ -65,6 +66,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by the 32k model, and which documents are over 4,096."""
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository top; it belongs to this subpackage
 
@@ -74,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_near_duplicates, op2_warc_pages, op3_substring_dedup, op4_language_id, op5_mix_sources, op6_fingerprints, op7_line_dedup, op8_suffix_dedup, op9_pack_sequences, op10_exact_top_k, pipeline,
+        op1_near_duplicates, op2_warc_pages, op3_substring_dedup, op4_language_id, op5_mix_sources, op6_fingerprints, op7_line_dedup, op8_suffix_dedup, op9_pack_sequences, op10_exact_top_k, op13_token_counts, pipeline,
     )
 }
 ORACLES = {"op2_warc_pages": warc.SQL, "op5_mix_sources": mixing.SQL, "op10_exact_top_k": vafile.SQL}
