@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, vafile, warc
+from . import hardneg, mixing, vafile, warc
 from .common import shared_dir, table
 from .ctph import fingerprint_documents
 from .dartminhash import near_duplicates
 from .fuzzy_lines import line_dedup
+from .hardneg import hard_negatives
 from .langid import held_out, identify
 from .mixing import mix_sources
 from .packing import pack
@@ -66,6 +67,13 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector's five positives, labels of every seventh moved by one."""
+    v = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(v.withColumn("label", moved))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the 32k model, and which documents are over 4,096."""
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -80,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_near_duplicates, op2_warc_pages, op3_substring_dedup, op4_language_id, op5_mix_sources, op6_fingerprints, op7_line_dedup, op8_suffix_dedup, op9_pack_sequences, op10_exact_top_k, op13_token_counts, pipeline,
+        op1_near_duplicates, op2_warc_pages, op3_substring_dedup, op4_language_id, op5_mix_sources, op6_fingerprints, op7_line_dedup, op8_suffix_dedup, op9_pack_sequences, op10_exact_top_k, op12_hard_negatives, op13_token_counts, pipeline,
     )
 }
-ORACLES = {"op2_warc_pages": warc.SQL, "op5_mix_sources": mixing.SQL, "op10_exact_top_k": vafile.SQL}
+ORACLES = {"op2_warc_pages": warc.SQL, "op5_mix_sources": mixing.SQL, "op10_exact_top_k": vafile.SQL, "op12_hard_negatives": hardneg.SQL}
