@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hardneg, mixing, vafile, warc
+from . import divergence, hardneg, mixing, vafile, warc
 from .common import shared_dir, table
 from .ctph import fingerprint_documents
 from .dartminhash import near_duplicates
+from .divergence import source_divergence
 from .fuzzy_lines import line_dedup
 from .hardneg import hard_negatives
 from .langid import held_out, identify
@@ -67,6 +68,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and its 200 most telling terms."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every fiftieth vector's five positives, labels of every seventh moved by one."""
     v = table(spark, sf_dir, "embeddings")
@@ -88,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_near_duplicates, op2_warc_pages, op3_substring_dedup, op4_language_id, op5_mix_sources, op6_fingerprints, op7_line_dedup, op8_suffix_dedup, op9_pack_sequences, op10_exact_top_k, op12_hard_negatives, op13_token_counts, pipeline,
+        op1_near_duplicates, op2_warc_pages, op3_substring_dedup, op4_language_id, op5_mix_sources, op6_fingerprints, op7_line_dedup, op8_suffix_dedup, op9_pack_sequences, op10_exact_top_k, op11_source_divergence, op12_hard_negatives, op13_token_counts, pipeline,
     )
 }
-ORACLES = {"op2_warc_pages": warc.SQL, "op5_mix_sources": mixing.SQL, "op10_exact_top_k": vafile.SQL, "op12_hard_negatives": hardneg.SQL}
+ORACLES = {"op2_warc_pages": warc.SQL, "op5_mix_sources": mixing.SQL, "op10_exact_top_k": vafile.SQL, "op11_source_divergence": divergence.SQL, "op12_hard_negatives": hardneg.SQL}
