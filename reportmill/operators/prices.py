@@ -5,25 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grams import GramIndex
 
-#: A listing of so many symbols at most is broadcast; a longer one is searched without.
-BROADCAST = 200_000
 
-
-def resolve_tickers(asked: DataFrame, symbols: DataFrame) -> DataFrame:
+def resolve_tickers(asked: DataFrame, symbols: DataFrame, index: GramIndex | None = None) -> DataFrame:
     """name_asked, name, code for asked(name_asked): the symbol of that name, else the first that contains it, by code.
 
-    Names without a symbol stay, with nulls. Equal names join on a hash; only names without an equal one are searched.
+    Names without a symbol stay, with nulls; repeated ones count once. Equal names join on a hash; only names without an
+    equal one are looked up in the index, which is made from the symbols unless there is a stored one.
     """
+    index = index or GramIndex.of(symbols)
     names = asked.select("name_asked").distinct()
     s = symbols.select("name", "code").filter(F.col("name").isNotNull())
-    first = F.min_by(F.struct("name", "code"), F.struct("code", "name")).alias("s")
-    equal = names.join(s, F.col("name_asked") == F.col("name")).groupBy("name_asked").agg(first)
-    rest = names.join(equal, "name_asked", "left_anti")
-    few = s.limit(BROADCAST + 1).count() <= BROADCAST
-    inside = rest.join(F.broadcast(s) if few else s, F.col("name").contains(F.col("name_asked"))).groupBy("name_asked").agg(first)
-    found = equal.unionByName(inside).select("name_asked", "s.name", "s.code")
-    return names.join(found, "name_asked", "left")
+    equal = names.join(s, F.col("name_asked") == F.col("name")).groupBy("name_asked", "name").agg(F.min("code").alias("code"))
+    rest = names.join(equal, "name_asked", "left_anti").select(F.col("name_asked").alias("text"))
+    inside = index.containing(rest).withColumnRenamed("text", "name_asked")
+    return names.join(equal.unionByName(inside.select("name_asked", "name", "code")), "name_asked", "left")
 
 
 def recent_prices(prices: DataFrame, as_of: str, days: int = 14, rows: int = 5, ticker: str = "ticker", day: str = "trade_date") -> DataFrame:
