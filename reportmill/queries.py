@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import rules as R
 from .functions import text as X
-from .operators import chunk, listing, prices, registry, retrieve, session
+from .operators import asof, chunk, listing, prices, registry, retrieve, rollup, session
 from .plans import sqlguard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -686,3 +686,56 @@ def recent_prices(spark, sf_dir):
     )
     as_of = p.agg(F.date_sub(F.max("trade_date"), 400).cast("string").alias("d")).first().d
     return prices.recent_prices(p, as_of).withColumn("trade_date", F.col("trade_date").cast("string"))
+
+
+def quotes(spark, sf_dir):
+    """Orders as prices of the reports' targets, moved to their years."""
+    ticker = F.concat(F.lit("T"), (F.col("o_custkey") % 17).cast("string"))
+    return table(spark, sf_dir, "orders").select(ticker.alias("target_name"), F.date_add(F.col("o_orderdate").cast("date"), 9400).alias("trade_date"), F.col("o_totalprice").alias("close"), F.col("o_orderkey").alias("volume"))
+
+
+QUOTES = "quotes AS (SELECT 'T' || (o_custkey % 17) AS target_name, o_orderdate::DATE + 9400 AS trade_date, o_totalprice AS close, o_orderkey AS volume FROM orders)"
+
+
+@query(f"""WITH {REPORTS}, {QUOTES}, q AS (SELECT * FROM quotes QUALIFY row_number() OVER (PARTITION BY target_name, trade_date ORDER BY trade_date, close DESC, volume DESC) = 1)
+SELECT r.doc_id, r.target_name, r.report_date, q.trade_date::VARCHAR AS trade_date, q.close FROM reports r ASOF LEFT JOIN q ON r.target_name = q.target_name AND r.report_dt >= q.trade_date""")
+def price_as_of_report(spark, sf_dir):
+    """The last price of each report's target on its date or before."""
+    r = reports(spark, sf_dir, with_id=True).select("doc_id", "target_name", "report_date", "report_dt")
+    q = quotes(spark, sf_dir).withColumn("day", F.col("trade_date"))
+    out = asof.asof_join(r, q, ["target_name"], "report_dt", "day", ["close", "volume", "trade_date"])
+    return out.select("doc_id", "target_name", "report_date", F.col("trade_date").cast("string").alias("trade_date"), "close")
+
+
+@query(f"""WITH {REPORTS}, {QUOTES}
+SELECT doc_id, count(*)::BIGINT AS n_quotes, min(close) AS lowest, max(close) AS highest FROM reports r JOIN quotes q ON r.target_name = q.target_name AND trade_date BETWEEN report_dt - 6 AND report_dt GROUP BY doc_id""")
+def prices_in_report_week(spark, sf_dir):
+    """Prices of each report's target in the seven days up to its date."""
+    r = reports(spark, sf_dir, with_id=True).select("doc_id", "target_name", "report_dt")
+    week = asof.interval_join(quotes(spark, sf_dir), r, ["target_name"], F.unix_date("trade_date"), F.unix_date("report_dt") - 6, F.unix_date("report_dt"))
+    return week.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_quotes"), F.min("close").alias("lowest"), F.max("close").alias("highest"))
+
+
+# ---- levels and sketches ------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {REPORTS}, m AS (SELECT report_type, broker, substr(report_date, 1, 7) AS month, target_name, file_name FROM reports)
+SELECT report_type, broker, month, grouping_id(report_type, broker, month)::BIGINT AS level, count(*)::BIGINT AS n_reports, count(DISTINCT target_name)::BIGINT AS n_targets FROM m GROUP BY CUBE (report_type, broker, month)""")
+def reports_cube(spark, sf_dir):
+    """Reports by type, broker and month, and by every subset of these."""
+    r = reports(spark, sf_dir).withColumn("month", F.substring("report_date", 1, 7))
+    return rollup.cube_counts(r, {c: F.col(c) for c in ("report_type", "broker", "month")}, n_reports=F.count(F.lit(1)), n_targets=F.count_distinct("target_name"))
+
+
+@query("""WITH d AS (SELECT ts::DATE AS day, user_id FROM events), s AS (SELECT DISTINCT day AS first_day FROM d)
+SELECT first_day::VARCHAR AS first_day, count(DISTINCT user_id)::BIGINT AS n_users, true AS within_bound FROM s JOIN d ON day BETWEEN first_day AND first_day + 6 GROUP BY first_day""")
+def distinct_users_by_week(spark, sf_dir):
+    """Different users of the seven days from each day: exact, and whether the merged sketches of the days are within four
+    standard errors of it."""
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("day"), "user_id")
+    weeks = e.select(F.col("day").alias("first_day")).distinct().withColumn("last_day", F.date_add("first_day", 6))
+    approx = rollup.over_ranges(rollup.distinct_sketches(e, ["day"], "user_id"), weeks, "day", "first_day", "last_day")
+    users = e.distinct()
+    exact = weeks.withColumn("day", F.explode(F.sequence("first_day", "last_day"))).join(users, "day").groupBy("first_day").agg(F.count_distinct("user_id").alias("n_users"))
+    near = F.abs(F.col("n_approx") - F.col("n_users")) <= 4 * 1.04 / 64 * F.col("n_users") + 1
+    return exact.join(approx, "first_day").select(F.col("first_day").cast("string").alias("first_day"), "n_users", near.alias("within_bound"))
