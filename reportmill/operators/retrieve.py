@@ -58,12 +58,12 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = 5, query_id: str = "quer
     left = q.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).withColumn("g", numbers(groups))
     right = c.withColumn("g", F.pmod(F.xxhash64("c"), F.lit(groups)).cast("int")).withColumn("b", numbers(blocks))
     types = f"`{query_id}` {q.schema['q'].dataType.simpleString()}, `{chunk_id}` {c.schema['c'].dataType.simpleString()}, score double"
-    found = left.groupBy("b", "g", "dim").cogroup(right.groupBy("b", "g", "dim")).applyInArrow(_nearest(k, query_id, chunk_id), types)
+    found = left.groupBy("b", "g", "dim").cogroup(right.groupBy("b", "g", "dim")).applyInArrow(nearest(k, query_id, chunk_id), types)
     best = Window.partitionBy(query_id).orderBy(F.round("score", 6), chunk_id)
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _nearest(k: int, query_id: str, chunk_id: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def nearest(k: int, query_id: str, chunk_id: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def matrix(rows: pa.Table) -> np.ndarray:
         flat = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         return flat.reshape(rows.num_rows, -1 if len(flat) else 0)

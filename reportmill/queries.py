@@ -6,6 +6,7 @@ doc_id mod 3, a date within 59 days, a target, the source as broker, and the beg
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from .functions import rules as R
 from .functions import text as X
 from .operators import asof, chunk, listing, prices, registry, retrieve, rollup, session
+from .operators.vector_index import VectorIndex
 from .plans import sqlguard
+from .sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -504,6 +507,18 @@ def knn_topk(spark, sf_dir):
     return hits(spark, sf_dir).select("query_id", "vec_id", "score", "rank")
 
 
+@query(f"WITH {HITS} SELECT query_id, vec_id, score, rank FROM hits")
+def knn_clustered(spark, sf_dir):
+    """The search of knn_topk through a stored index of clusters."""
+    v = chunks(spark, sf_dir)
+    path = f"{store.shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    index = VectorIndex(spark, path, "vec_id long, parent_id long, label int, embedding array<float>", id="vec_id", owner="vec_id")
+    index.put(v)
+    found = index.search(v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), K)
+    store.remove(spark, path)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"WITH {HITS.replace('FROM v q, v c WHERE q.vec_id % 50 = 0', 'FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.label = 1')} SELECT query_id, vec_id, score, rank FROM hits")
 def knn_filtered(spark, sf_dir):
     """A metadata filter below the search (an extension)."""
