@@ -20,7 +20,6 @@ class Settings:
     history_entries: int = 3
     price_days: int = 14
     price_rows: int = 5
-    lookback_days: int = 30
 
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None) -> Settings:

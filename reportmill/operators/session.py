@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,21 +53,31 @@ def branches(routed: DataFrame, route: str = "route") -> tuple[DataFrame, DataFr
     return routed.filter(catalog), routed.filter(~catalog)
 
 
-def append(history: DataFrame, turns: DataFrame, ask_role: str = "사용자", answer_role: str = "AI", tools: bool = False) -> DataFrame:
-    """history with a question and an answer for each of turns(thread_id, question, answer, used_tool).
+def next_entries(upto: DataFrame, turns: DataFrame, ask_role: str = "사용자", answer_role: str = "AI", tools: bool = False) -> DataFrame:
+    """thread_id, seq, role, text: a question and an answer for each of turns(thread_id, question, answer, used_tool).
 
-    Turns that were answered by a tool are left out, unless tools is set.
+    upto(thread_id, _last) has the last number of each thread with entries. Turns that were answered by a tool are left
+    out, unless tools is set.
     """
     kept = turns if tools else turns.filter(~F.coalesce(F.col("used_tool"), F.lit(False)))
-    upto = history.groupBy("thread_id").agg(F.max("seq").alias("_last"))
     nth = F.row_number().over(Window.partitionBy("thread_id").orderBy("question", "answer"))
     numbered = kept.withColumn("_n", nth).join(upto, "thread_id", "left").withColumn("_at", F.coalesce(F.col("_last"), F.lit(-1)) + 2 * F.col("_n") - 1)
     pair = F.array(
         F.struct(F.col("_at").cast("long").alias("seq"), F.lit(ask_role).alias("role"), F.col("question").alias("text")),
         F.struct((F.col("_at") + 1).cast("long").alias("seq"), F.lit(answer_role).alias("role"), F.col("answer").alias("text")),
     )
-    new = numbered.select("thread_id", F.explode(pair).alias("e")).select("thread_id", "e.*")
-    return history.select("thread_id", "seq", "role", "text").unionByName(new)
+    return numbered.select("thread_id", F.explode(pair).alias("e")).select("thread_id", "e.*")
+
+
+def append(history: DataFrame, turns: DataFrame, ask_role: str = "사용자", answer_role: str = "AI", tools: bool = False) -> DataFrame:
+    """history with the entries of turns, once: a conversation that goes on is kept by threads.Threads."""
+    upto = history.groupBy("thread_id").agg(F.max("seq").alias("_last"))
+    return history.select("thread_id", "seq", "role", "text").unionByName(next_entries(upto, turns, ask_role, answer_role, tools))
+
+
+def text_of_entries(roles: Iterable[str], texts: Iterable[str | None]) -> str:
+    """history_text of one thread's entries, in a worker."""
+    return "".join(f"[{r}]\n{t or ''}\n\n" for r, t in zip(roles, texts, strict=True)).strip()
 
 
 def rewrite(questions: DataFrame, history: DataFrame, rewriter: Callable[[Column, Column], Column] | None = None, n: int = 3) -> DataFrame:

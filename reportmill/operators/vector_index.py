@@ -31,21 +31,28 @@ RADII = "cluster int, n long, radius double"
 
 
 class VectorIndex:
-    """Rows of `schema` (with an id, an owner by which they are replaced, and a vector) under path, by cluster."""
+    """Rows of `schema` (with an id, an owner by which they are replaced, and a vector) under path, by cluster; centroids and
+    radii lie beside them."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str, id: str = "chunk_id", owner: str = "file_name", vector: str = "embedding"):
         self.spark, self.path = spark, path.rstrip("/")
         self.id, self.owner, self.vector = id, owner, vector
         self.schema = f"{schema}, distance double, cluster int"
 
+    def drop(self) -> None:
+        """Remove all of it."""
+        for path in (self.path, f"{self.path}_centroids", f"{self.path}_radii"):
+            remove(self.spark, path)
+        self.__dict__.pop("centroids", None)
+
     def rows(self, clusters: list[int] | None = None) -> DataFrame:
         """All rows, or those of some clusters: only their partitions are read."""
-        out = read_table(self.spark, f"{self.path}/rows", self.schema)
+        out = read_table(self.spark, self.path, self.schema)
         return out if clusters is None else out.filter(F.col("cluster").isin(clusters))
 
     @cached_property
     def centroids(self) -> np.ndarray:
-        held = read_table(self.spark, f"{self.path}/centroids", "cluster int, centroid array<double>").orderBy("cluster").collect()  # bounded by NUMBERS
+        held = read_table(self.spark, f"{self.path}_centroids", "cluster int, centroid array<double>").orderBy("cluster").collect()  # bounded by NUMBERS
         return np.array([r.centroid for r in held], float)
 
     def fit(self, rows: DataFrame, clusters: int | None = None) -> None:
@@ -61,7 +68,7 @@ class VectorIndex:
         else:
             centres = KMeans(k=k, seed=1, maxIter=10, featuresCol="features").fit(sample.select(array_to_vector("v").alias("features"))).clusterCenters()
         found = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
-        self.spark.createDataFrame(found, "cluster int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/centroids")
+        self.spark.createDataFrame(found, "cluster int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self.path}_centroids")
         self.__dict__.pop("centroids", None)
 
     def put(self, rows: DataFrame, owners: DataFrame | None = None) -> list[int]:
@@ -87,11 +94,11 @@ class VectorIndex:
         rest = batch.filter(~fits).select("*", F.lit(None).cast("double").alias("distance"), F.lit(NOWHERE).alias("cluster"))
         placed = kept(near.unionByName(rest), "placed")
         # radii grow before rows come and shrink after they have gone, so that a search between the two is right
-        noted = read_table(self.spark, f"{self.path}/radii", RADII)
+        noted = read_table(self.spark, f"{self.path}_radii", RADII)
         grown = noted.unionByName(self._measured(placed)).groupBy("cluster").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"))
         self._note(grown)
-        touched = replace_rows(self.spark, f"{self.path}/rows", self.schema, placed, owners or batch.select(self.owner), self.owner, "cluster")
-        others = read_table(self.spark, f"{self.path}/radii", RADII).filter(~F.col("cluster").isin(touched))
+        touched = replace_rows(self.spark, self.path, self.schema, placed, owners or batch.select(self.owner), self.owner, "cluster")
+        others = read_table(self.spark, f"{self.path}_radii", RADII).filter(~F.col("cluster").isin(touched))
         self._note(others.unionByName(self._measured(self.rows(touched))))
         remove(self.spark, batch.kept_in)
         remove(self.spark, placed.kept_in)
@@ -102,12 +109,12 @@ class VectorIndex:
 
     def _note(self, radii: DataFrame) -> None:
         found = [tuple(r) for r in radii.collect()]  # at most one a cluster
-        self.spark.createDataFrame(found, RADII).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/radii")
+        self.spark.createDataFrame(found, RADII).coalesce(1).write.mode("overwrite").parquet(f"{self.path}_radii")
 
     def radii(self) -> tuple[np.ndarray, np.ndarray]:
         """Rows and radius of each cluster, by its number."""
         n, radius = np.zeros(len(self.centroids), np.int64), np.zeros(len(self.centroids))
-        for r in read_table(self.spark, f"{self.path}/radii", RADII).collect():
+        for r in read_table(self.spark, f"{self.path}_radii", RADII).collect():
             n[r.cluster], radius[r.cluster] = r.n, r.radius
         return n, radius
 

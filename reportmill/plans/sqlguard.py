@@ -6,6 +6,7 @@ statement, then node types and functions, which have to be on a list.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +37,8 @@ FUNCTIONS = frozenset(
     ucase upper var_pop var_samp variance weekday weekofyear when year
     """.split()
 )
+#: The view's name belongs to one statement at a time.
+_ONE = threading.Lock()
 
 
 @dataclass(frozen=True)
@@ -124,12 +127,19 @@ def check(spark: SparkSession, sql: str, table: str = TABLE) -> Rejected | None:
 
 
 def run(spark: SparkSession, sql: str, reports: DataFrame, table: str = TABLE) -> DataFrame:
-    """The statement's result over the reports, which it sees as a view; SqlRejected if it may not run. Nothing is collected."""
+    """The statement's result over the reports, which it sees as a view; SqlRejected if it may not run. Nothing is collected.
+
+    A view of that name that the session has itself is there again afterwards. Statements are analysed one at a time.
+    """
     rejected = check(spark, sql, table)
     if rejected:
         raise SqlRejected(rejected)
-    reports.createOrReplaceTempView(table)
-    try:
-        return spark.sql(sql)
-    finally:  # the result is analysed by now and keeps its own plan
-        spark.catalog.dropTempView(table)
+    with _ONE:
+        own = spark.table(table) if spark._jsparkSession.sessionState().catalog().getTempView(table).isDefined() else None
+        reports.createOrReplaceTempView(table)
+        try:
+            return spark.sql(sql)
+        finally:  # the result is analysed by now and keeps its own plan
+            spark.catalog.dropTempView(table)
+            if own is not None:
+                own.createOrReplaceTempView(table)

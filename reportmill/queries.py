@@ -18,6 +18,7 @@ from .operators import asof, chunk, listing, prices, registry, retrieve, rollup,
 from .operators.vector_index import VectorIndex
 from .plans import sqlguard
 from .sources import store
+from .streaming import conversations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -264,7 +265,7 @@ def listing_default_date(spark, sf_dir):
     return dated(listing.since(listed(spark, sf_dir)).select("category", "pos", "file_name", "report_dt"))
 
 
-@query(f"WITH {LISTED} SELECT max(report_dt)::VARCHAR AS latest_date FROM listed WHERE report_dt <= DATE '2024-02-15' AND report_dt >= DATE '2024-02-15' - 30")
+@query(f"WITH {LISTED} SELECT max(report_dt)::VARCHAR AS latest_date FROM listed WHERE report_dt <= DATE '2024-02-15'")
 def latest_day_select(spark, sf_dir):
     return listing.latest_day(listed(spark, sf_dir), "2024-02-15")
 
@@ -515,7 +516,7 @@ def knn_clustered(spark, sf_dir):
     index = VectorIndex(spark, path, "vec_id long, parent_id long, label int, embedding array<float>", id="vec_id", owner="vec_id")
     index.put(v)
     found = index.search(v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), K)
-    store.remove(spark, path)
+    index.drop()
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -646,6 +647,22 @@ def query_rewrite(spark, sf_dir):
     return session.rewrite(asked, h, count).select("thread_id", "question", "rewritten_query")
 
 
+@query("""WITH l AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) <= 3),
+h AS (SELECT conv_id, """ + strip_sql("string_agg('[' || role || ']' || chr(10) || coalesce(text, '') || chr(10) || chr(10), '' ORDER BY turn, role, text)") + """ AS history FROM l GROUP BY conv_id)
+SELECT c.conv_id AS thread_id, count(*)::BIGINT AS n_entries, max(turn)::BIGINT AS last_seq, any_value(history) AS history FROM conversations c JOIN h ON h.conv_id = c.conv_id GROUP BY c.conv_id""")
+def conversation_state(spark, sf_dir):
+    """What a stream over all conversations knows of each thread in the end."""
+    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
+    turns = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parquet")
+    entries = turns.select(F.col("conv_id").cast("long").alias("thread_id"), F.col("turn").cast("long").alias("seq"), "role", "text")
+    path = f"{store.shared_dir(spark)}/conversations-{uuid.uuid4().hex}"
+    run = conversations.keep_conversations(entries, f"{path}/states", f"{path}/checkpoint")
+    run.awaitTermination()
+    out = store.kept(conversations.states_of(spark, f"{path}/states"), "states")
+    store.remove(spark, path)
+    return out
+
+
 ROUTES = (" RDB ", "stock_price", "foo", "vectordb", "", "Rdb\n")
 
 

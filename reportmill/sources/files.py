@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: From a file's bytes to the texts of its pages.
@@ -16,8 +16,12 @@ FILES = "path string, modificationTime timestamp, length long"
 def report_files(spark: SparkSession, folder: str) -> DataFrame:
     """file_name, path, length of the PDF files of a folder, whatever the case of their ending. No content is read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
-    name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))
-    return files.select(name.alias("file_name"), "path", "length")
+    return files.select(file_name(F.col("path")).alias("file_name"), "path", "length")
+
+
+def file_name(path: Column) -> Column:
+    """The last part of a file's path, as it was before it became a URL."""
+    return F.url_decode(F.replace(F.element_at(F.split(path, "/"), -1), F.lit("+"), F.lit("%2B")))
 
 
 def plain_pages(content: bytes) -> list[str]:
@@ -25,8 +29,8 @@ def plain_pages(content: bytes) -> list[str]:
     return content.decode("utf-8").split("\f")
 
 
-def extract_texts(spark: SparkSession, folder: str, primary: Extractor = plain_pages, fallback: Extractor | None = None, pattern: str = "*.[pP][dD][fF]") -> DataFrame:
-    """file_name, text, error of each file: its pages, each followed by a blank line.
+def extract_texts(spark: SparkSession, folder: str, primary: Extractor = plain_pages, fallback: Extractor | None = None, pattern: str = "*.[pP][dD][fF]", only: DataFrame | None = None) -> DataFrame:
+    """file_name, text, error of each file: its pages, each followed by a blank line. only(file_name): no other files.
 
     The fallback is tried where the primary extractor fails and leaves nothing. A file that both fail on, or without
     text, has an error instead of a text. Files go to Python one Arrow batch at a time.
@@ -46,11 +50,12 @@ def extract_texts(spark: SparkSession, folder: str, primary: Extractor = plain_p
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [text_of(bytes(c)) for c in batch["content"]]
-            yield pd.DataFrame({"path": batch["path"], "text": [t for t, _ in found], "error": [e for _, e in found]})
+            yield pd.DataFrame({"file_name": batch["path"], "text": [t for t, _ in found], "error": [e for _, e in found]})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
-    out = files.mapInPandas(run, "path string, text string, error string")
-    return out.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "text", "error").withColumn("file_name", F.url_decode(F.replace("file_name", F.lit("+"), F.lit("%2B"))))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(file_name(F.col("path")).alias("path"), "content")
+    if only is not None:
+        files = files.join(only.select(F.col("file_name").alias("path")), "path", "left_semi")
+    return files.mapInPandas(run, "file_name string, text string, error string")
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -58,7 +58,7 @@ def found(index, asked, k, **how):
 
 def test_index_is_exact_and_reads_few_clusters(spark, vectors, tmp_path):
     df = spark.createDataFrame([*vectors, (5000, "f1", None), (5001, "f1", [1.0])], IDS).repartition(4)
-    index = VectorIndex(spark, str(tmp_path), IDS)
+    index = VectorIndex(spark, str(tmp_path / "rows"), IDS)
     index.put(df)
     asked = df.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
     for k, how in ((5, {}), (1, {"block": 2, "group": 50}), (400, {})):
@@ -74,12 +74,12 @@ def test_index_is_exact_and_reads_few_clusters(spark, vectors, tmp_path):
 
 def test_batches_go_to_their_clusters(spark, vectors, tmp_path):
     df = spark.createDataFrame(vectors, IDS)
-    index = VectorIndex(spark, str(tmp_path), IDS)
+    index = VectorIndex(spark, str(tmp_path / "rows"), IDS)
     asked = df.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
     assert found(index, asked, 5) == []
     index.put(df.filter("chunk_id % 2 = 0"))
     centroids = index.centroids.copy()
-    again = VectorIndex(spark, str(tmp_path), IDS)  # another session
+    again = VectorIndex(spark, str(tmp_path / "rows"), IDS)  # another session
     again.put(df.filter("file_name <> 'f1'"), df.select("file_name"))
     assert (again.centroids == centroids).all()
     assert found(again, asked, 5) == scan(df.filter("file_name <> 'f1'"), asked, 5)
@@ -100,7 +100,7 @@ def test_bounds_hold_under_rounding():
 
 
 def test_an_index_of_nothing(spark, tmp_path):
-    index = VectorIndex(spark, str(tmp_path), IDS)
+    index = VectorIndex(spark, str(tmp_path / "rows"), IDS)
     none = spark.createDataFrame([(1, "f", None)], IDS)
     index.put(none)
     asked = spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<double>")
