@@ -653,7 +653,7 @@ SELECT c.conv_id AS thread_id, count(*)::BIGINT AS n_entries, max(turn)::BIGINT
 def conversation_state(spark, sf_dir):
     """What a stream over all conversations knows of each thread in the end."""
     schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
-    turns = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parquet")
+    turns = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parque[t]")  # a file or a folder
     entries = turns.select(F.col("conv_id").cast("long").alias("thread_id"), F.col("turn").cast("long").alias("seq"), "role", "text")
     path = f"{store.shared_dir(spark)}/conversations-{uuid.uuid4().hex}"
     run = conversations.keep_conversations(entries, f"{path}/states", f"{path}/checkpoint")
