@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,28 +18,41 @@ UNKNOWN_BROKER = "알수없음"
 def header_sections(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Sections of a markdown text: keys, section, h1..h3, content. A heading opens a section and stays in its text.
 
-    A heading of a level clears the deeper ones. Blank sections go. Each text is split within its own row, so rows that
-    share their keys stay apart, and keys may have any names.
+    A heading of a level clears the deeper ones. Blank sections go. Each text is split within its own row in one pass over
+    its lines, so rows that share their keys stay apart; keys may have any names.
     """
-    heading, nothing = r"^(#{1,3}) +(.*)$", F.lit(None).cast("string")
-    lines = F.transform(
-        F.split(F.col("_text"), "\n"),
-        lambda x: F.struct(x.alias("line"), F.length(F.regexp_extract(x, heading, 1)).alias("level"), F.trim(F.regexp_extract(x, heading, 2)).alias("title")),
-    )
-    # the places of the headings, each the beginning of a section; before the first there is section 0
-    starts = F.filter(F.transform("_lines", lambda x, i: F.when(x["level"] > 0, i)), lambda i: i.isNotNull())
-    one = docs.select(F.struct(*keys).alias("_keys"), F.col(text).alias("_text")).withColumn("_lines", lines)
-    one = one.withColumn("_starts", F.concat(F.array(F.lit(0)), starts))
-    one = one.select("_keys", "_lines", "_starts", F.posexplode("_starts").alias("section", "_from"))
-    upto = F.coalesce(F.get("_starts", F.col("section") + 1), F.size("_lines"))
-    content = F.array_join(F.transform(F.slice("_lines", F.col("_from") + 1, upto - F.col("_from")), lambda x: x["line"]), "\n")
-    path = F.transform(F.slice("_starts", 2, F.col("section")), lambda i: F.get("_lines", i))  # the headings so far
-    step = lambda held, x: F.when(x["level"] == 1, F.struct(x["title"].alias("h1"), nothing.alias("h2"), nothing.alias("h3"))).when(
-        x["level"] == 2, F.struct(held["h1"].alias("h1"), x["title"].alias("h2"), nothing.alias("h3"))
-    ).otherwise(F.struct(held["h1"].alias("h1"), held["h2"].alias("h2"), x["title"].alias("h3")))
-    none = F.struct(nothing.alias("h1"), nothing.alias("h2"), nothing.alias("h3"))
-    out = one.select("_keys", F.col("section").cast("long").alias("section"), F.aggregate(path, none, step).alias("_h"), content.alias("content"))
-    return out.filter(F.trim(F.translate("content", "\n", "")) != "").select("_keys.*", "section", "_h.h1", "_h.h2", "_h.h3", "content")
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = docs.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(text).cast("string").alias("_text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [list(_sections(t)) if t else [] for t in batch["_text"]]
+            out = batch.loc[batch.index.repeat([len(p) for p in parts]), names].reset_index(drop=True)
+            yield pd.concat([out, pd.DataFrame([x for p in parts for x in p], columns=["section", "h1", "h2", "h3", "content"])], axis=1)
+
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    found = rows.mapInPandas(run, ", ".join([*schema, "section long, h1 string, h2 string, h3 string, content string"]))
+    return found.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "section", "h1", "h2", "h3", "content")
+
+
+HEADING = re.compile("(#{1,3}) +([^\n\r\x85\u2028\u2029]*)[\r\x85\u2028\u2029]?")
+
+
+def _sections(text: str) -> Iterator[tuple[int, str | None, str | None, str | None, str]]:
+    """(section, h1, h2, h3, content) of a text, in one pass over its lines."""
+    path: list[str | None] = [None, None, None]
+    section, held = 0, []
+    for line in text.split("\n"):
+        found = HEADING.fullmatch(line)
+        if found:
+            if "".join(held).strip(" "):
+                yield section, *path, "\n".join(held)
+            section, held = section + 1, []
+            level = len(found[1])
+            path = [*path[: level - 1], found[2].strip(" "), *[None] * (3 - level)]
+        held.append(line)
+    if "".join(held).strip(" "):
+        yield section, *path, "\n".join(held)
 
 
 def fixed_windows(text: Column, size: int, overlap: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -95,8 +97,10 @@ def with_source(reports: DataFrame, files: DataFrame, key: str = "file_name") ->
 
 
 def by_target(reports: DataFrame, text: str) -> DataFrame:
-    """Targets that contain the text, letters of either case; % and _ in it stay wildcards, a backslash is itself."""
-    return reports.filter(F.col("target_name").ilike("%" + text.replace("\\", "\\\\") + "%")).orderBy(F.col("report_date").desc(), "file_name")
+    """Targets that contain the text, ASCII letters of either case; % and _ in it stay wildcards, a backslash is itself."""
+    lower = lambda c: F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
+    pattern = "".join(c.lower() if c.isascii() else c for c in text).replace("\\", "\\\\")
+    return reports.filter(lower("target_name").like(f"%{pattern}%")).orderBy(F.col("report_date").desc(), "file_name")
 
 
 def by_dates(reports: DataFrame, start: str, end: str) -> DataFrame:

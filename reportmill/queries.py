@@ -1,7 +1,7 @@
 """The driver's queries over the supplied tables, each with DuckDB SQL that gives the same rows.
 
 The tables have no reports, so file names are derived from documents by one formula in both engines: the type from
-doc_id mod 3, a date within 59 days, a target, the source as broker, and the beginning of the text as title.
+doc_id mod 3, a date within 59 days, a target, the source as broker, and the text as title.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import rules as R
 from .functions import text as X
+from .functions import udtf
 from .operators import asof, chunk, listing, prices, registry, retrieve, rollup, session
 from .operators.vector_index import VectorIndex
 from .plans import sqlguard
@@ -52,7 +53,7 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, ("company", "industry", "economy"))), (F.col("doc_id") % 3 + 1).cast("int"))
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") * 7 % 59).cast("int")), "yyyy-MM-dd")
     target = F.when(F.col("doc_id") % 3 == 2, "null").otherwise(F.concat(F.lit("T"), (F.col("doc_id") % 17).cast("string")))
-    return d.select("doc_id", registry.build_file_name(kind, day, target, F.col("source"), F.substring("text", 1, 80)).alias("file_name"))
+    return d.select("doc_id", registry.build_file_name(kind, day, target, F.col("source"), F.col("text")).alias("file_name"))
 
 
 def reports(spark: SparkSession, sf_dir: str, with_id: bool = False) -> DataFrame:
@@ -83,7 +84,7 @@ NAMES = f"""names AS (
   FROM (SELECT doc_id, source, CASE doc_id % 3 WHEN 0 THEN 'company' WHEN 1 THEN 'industry' ELSE 'economy' END AS kind,
                strftime(DATE '2024-01-01' + (doc_id * 7 % 59)::INTEGER, '%Y-%m-%d') AS day,
                CASE WHEN doc_id % 3 = 2 THEN 'null' ELSE 'T' || (doc_id % 17) END AS target,
-               {part_sql("substr(text, 1, 80)")} AS t FROM documents))"""
+               {part_sql("text")} AS t FROM documents))"""
 REPORTS = NAMES + """,
 reports AS (
   SELECT doc_id, file_name, a[1] AS report_type, a[2] AS report_date, try_cast(a[2] AS DATE) AS report_dt, a[3] AS target_name,
@@ -119,14 +120,24 @@ def values_sql(values, alias: str) -> str:
     return f"(VALUES {rows}) {alias}"
 
 
-@query(f"""SELECT f AS file_name, ok, CASE WHEN ok THEN a[1] END AS report_type, CASE WHEN ok THEN a[2] END AS report_date, CASE WHEN ok THEN d::VARCHAR END AS report_dt,
+def one_of(values, number):
+    """The value whose place is the number modulo their count."""
+    return F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))
+
+
+def one_of_sql(values, number: str) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f"][(({number}) % {len(values)} + 1)::BIGINT]"
+
+
+@query(f"""SELECT doc_id, f AS file_name, ok, CASE WHEN ok THEN a[1] END AS report_type, CASE WHEN ok THEN a[2] END AS report_date, CASE WHEN ok THEN d::VARCHAR END AS report_dt,
   CASE WHEN ok THEN a[3] END AS target_name, CASE WHEN ok THEN a[4] END AS broker, CASE WHEN ok THEN array_to_string(a[5:], '_') END AS title
 FROM (SELECT *, coalesce(f ILIKE '%.pdf' AND len(a) >= 5 AND d IS NOT NULL, false) AS ok FROM (SELECT *, try_strptime(CASE WHEN regexp_full_match(a[2], '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}') THEN a[2] END, '%Y-%m-%d')::DATE AS d
-  FROM (SELECT f, string_split(regexp_replace(f, '(?i)\\.pdf$', ''), '_') AS a FROM {values_sql(EDGE, "t(f)")})))""")
+  FROM (SELECT doc_id, f, string_split(regexp_replace(f, '(?i)\\.pdf$', ''), '_') AS a FROM (SELECT doc_id, replace({one_of_sql(EDGE, "doc_id")}, 'B', source || '_' || n_chars) AS f FROM documents))))""")
 def registry_parse_edge(spark, sf_dir):
-    p = registry.parse_file_name(F.col("file_name"))
-    out = literals(spark, "file_name", EDGE).withColumn("p", p)
-    return out.select("file_name", F.col("p").isNotNull().alias("ok"), "p.report_type", "p.report_date", F.col("p.report_dt").cast("string").alias("report_dt"), "p.target_name", "p.broker", "p.title")
+    """Names of odd forms, with sources and sizes of the documents in them."""
+    odd = F.replace(one_of(EDGE, F.col("doc_id")), F.lit("B"), F.concat_ws("_", "source", "n_chars"))
+    out = table(spark, sf_dir, "documents").select("doc_id", odd.alias("file_name")).withColumn("p", registry.parse_file_name(F.col("file_name")))
+    return out.select("doc_id", "file_name", F.col("p").isNotNull().alias("ok"), "p.report_type", "p.report_date", F.col("p.report_dt").cast("string").alias("report_dt"), "p.target_name", "p.broker", "p.title")
 
 
 @query(f"WITH {NAMES} SELECT doc_id, file_name FROM names")
@@ -280,34 +291,47 @@ def listing_h1(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1).alias("h1"))
 
 
-def _row(*cells: str) -> str:
-    return "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+LISTED_TITLE = "'R_' || doc_id || ': A&B up?'"
 
 
-LISTING_PAGES = (
-    ("company", "<table class='type_1'><tr><th>x</th></tr>" + _row("<b>A&amp;B</b>", " Title_1: up? ", "Kim", '<a href="/x.PDF">f</a>', "24.02.22", "9") + _row("C", "T2", "Lee", "none", "24.2.21", "9") + "</table>"),
-    ("industry", '<p></p><table  summary="s" class="type_1">' + _row("Cars", "T3", "Lee", '<a class="q" href="http://h/y.pdf?z=1">f</a>', "24.02.30", "9") + _row("Cars", "T4", "Lee", '<a href="q.html">f</a><a href="y.pdf">f</a>', "99.12.31", "9") + "</table>"),
-    ("economy", '<table class="type_1">' + _row("Macro", "Choi", '<a href="m.pdf">f</a>', "24.02.20", "9") + _row("short", "row") + "</table>"),
-)
-LISTING_ROWS = (
-    ("company", "A&B", "Title_1: up?", "Kim", "/x.PDF", "2024-02-22", "company_2024-02-22_A&B_Kim_Title-1 up.pdf"), ("company", "C", "T2", "Lee", "", "2024-02-21", "company_2024-02-21_C_Lee_T2.pdf"),
-    ("industry", "Cars", "T4", "Lee", "y.pdf", "1999-12-31", "industry_1999-12-31_Cars_Lee_T4.pdf"), ("economy", "null", "Macro", "Choi", "m.pdf", "2024-02-20", "economy_2024-02-20_null_Choi_Macro.pdf"),
-)
-
-
-@query(f"SELECT category, target_name, title, broker, nullif(u, '') AS pdf_url, report_dt, file_name FROM {values_sql(LISTING_ROWS, 't(category, target_name, title, broker, u, report_dt, file_name)')}")
+@query(f"""SELECT category, target_name, title, broker, pdf_url, report_dt::VARCHAR AS report_dt, category || '_' || report_dt || '_' || target_name || '_' || {part_sql("broker")} || '_' || {part_sql("title")} || '.pdf' AS file_name
+FROM (SELECT CASE doc_id % 3 WHEN 0 THEN 'company' WHEN 1 THEN 'industry' ELSE 'economy' END AS category, CASE WHEN doc_id % 3 = 2 THEN 'null' ELSE 'T' || (doc_id % 17) END AS target_name, {LISTED_TITLE} AS title,
+  coalesce(source, 'none') AS broker, CASE WHEN doc_id % 7 <> 0 THEN '/f' || doc_id || '.PDF?x=1' END AS pdf_url, DATE '1996-11-01' + (doc_id % 9000)::INTEGER AS report_dt FROM documents WHERE doc_id % 13 <> 0)""")
 def listing_table_rows(spark, sf_dir):
-    pages = spark.createDataFrame([(c, 1, h) for c, h in LISTING_PAGES], "category string, page int, html string")
-    return dated(listing.with_file_name(listing.listing_rows(pages)).select("category", "target_name", "title", "broker", "pdf_url", "report_dt", "file_name"))
-
-
-YEARS = ("24.02.21", "24.2.1", "69.01.01", "68.12.31", "99.12.31", "24.02.30", "2024.02.01", "", "24-02-01")
-
-
-@query(f"""SELECT s, CASE WHEN regexp_full_match(s, '\\d{{2}}\\.\\d{{1,2}}\\.\\d{{1,2}}') THEN try_strptime(CASE WHEN try_cast(s[1:2] AS INTEGER) >= 69 THEN '19' ELSE '20' END || s, '%Y.%m.%d')::DATE::VARCHAR END AS d
-FROM {values_sql(YEARS, "t(s)")}""")
+    """Listing pages of twenty documents each, made from the table and read again; the SQL has no pages."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("broker"))
+    n = F.col("doc_id").cast("string")
+    day = F.when(F.col("doc_id") % 13 == 0, "24.02.30").otherwise(F.date_format(F.date_add(F.lit("1996-11-01").cast("date"), (F.col("doc_id") % 9000).cast("int")), "yy.M.d"))
+    link = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit('<a href="f'), n, F.lit('.html">f</a>'))).otherwise(F.concat(F.lit('<a href="q.html">q</a><a class="c" href="/f'), n, F.lit('.PDF?x=1">f</a>')))
+    cell = lambda c: F.concat(F.lit("<td> "), c, F.lit(" </td>"))
+    title = cell(F.concat(F.lit("<b>R_"), n, F.lit("</b>: A&amp;B up?")))
+    target = F.when(F.col("doc_id") % 3 == 2, "").otherwise(cell(F.concat(F.lit("T"), (F.col("doc_id") % 17).cast("string"))))
+    row = F.concat(F.lit("<tr>"), target, title, cell(F.col("broker")), cell(link), cell(day), cell(F.lit("9")), F.lit("</tr>"))
+    kind = one_of(("company", "industry", "economy"), F.col("doc_id"))
+    pages = d.groupBy(kind.alias("category"), F.expr("doc_id div 60").cast("int").alias("page")).agg(F.array_sort(F.collect_list(F.struct("doc_id", row.alias("r")))).alias("rows"))  # twenty at most
+    body = F.array_join(F.transform("rows", lambda x: x["r"]), "")
+    html = F.concat(F.lit("<p></p><table  summary='s' class='type_1'><tr><th>x</th></tr>"), body, F.lit("<tr><td>short</td></tr></table>"))
+    found = listing.listing_rows(pages.select("category", "page", html.alias("html")))
+    return dated(listing.with_file_name(found).select("category", "target_name", "title", "broker", "pdf_url", "report_dt", "file_name"))
+
+
+@query(f"""WITH {LISTED}, t AS (SELECT DISTINCT file_name FROM listed) SELECT count(*)::BIGINT AS n_taken, count(*) FILTER (WHERE file_name IN (SELECT file_name FROM done))::BIGINT AS n_present FROM t""")
+def crawl_counts(spark, sf_dir):
+    """Of the listed files, how many are there already."""
+    return listing.crawl_count(listed(spark, sf_dir), done(spark, sf_dir))
+
+
+DAYS = ("yy.MM.dd", "yy.M.d", "yyyy.MM.dd", "yy-MM-dd", "yy.MM.'31'", "yy.'13'.dd")
+
+
+@query("""WITH f AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%y.%m.%d') WHEN 1 THEN strftime(o_orderdate, '%y.%-m.%-d') WHEN 2 THEN strftime(o_orderdate, '%Y.%m.%d') WHEN 3 THEN strftime(o_orderdate, '%y-%m-%d')
+  WHEN 4 THEN strftime(o_orderdate, '%y.%m.31') ELSE strftime(o_orderdate, '%y.13.%d') END AS s FROM orders)
+SELECT o_orderkey, s, CASE WHEN regexp_full_match(s, '\\d{2}\\.\\d{1,2}\\.\\d{1,2}') THEN try_strptime(CASE WHEN try_cast(s[1:2] AS INTEGER) >= 69 THEN '19' ELSE '20' END || s, '%Y.%m.%d')::DATE::VARCHAR END AS d FROM f""")
 def date_yy_pivot(spark, sf_dir):
-    return literals(spark, "s", YEARS).select("s", X.short_year_date(F.col("s")).cast("string").alias("d"))
+    """Dates of orders in six spellings, two of them no dates at times."""
+    o = table(spark, sf_dir, "orders")
+    s = F.element_at(F.array(*[F.date_format("o_orderdate", f) for f in DAYS]), (F.col("o_orderkey") % len(DAYS) + 1).cast("int"))
+    return o.select("o_orderkey", s.alias("s")).withColumn("d", X.short_year_date(F.col("s")).cast("string"))
 
 
 # ---- cleaning -----------------------------------------------------------------------------------------------------
@@ -371,9 +395,12 @@ KOREAN = (
 )
 
 
-@query(f"SELECT line, {noise_sql('line')} AS noise FROM {values_sql(KOREAN, 't(line)')}")
+@query(f"SELECT doc_id, line, {noise_sql('line')} AS noise FROM (SELECT doc_id, replace(replace({one_of_sql(KOREAN, 'doc_id')}, '1', (doc_id % 10)::VARCHAR), '가', substr(lang, 1, (doc_id % 2)::BIGINT)) AS line FROM documents)")
 def clean_noise_line_ko(spark, sf_dir):
-    return literals(spark, "line", KOREAN).select("line", X.noise_line(F.col("line")).alias("noise"))
+    """Lines as Korean reports have them, with digits and letters that change from document to document."""
+    changed = F.replace(one_of(KOREAN, F.col("doc_id")), F.lit("1"), (F.col("doc_id") % 10).cast("string"))
+    changed = F.replace(changed, F.lit("가"), F.col("lang").substr(F.lit(1), (F.col("doc_id") % 2).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", changed.alias("line")).withColumn("noise", X.noise_line(F.col("line")))
 
 
 _SHORT, _LONG = "가나다라 12", "This line is long enough not to be a label at all"
@@ -408,9 +435,13 @@ def clean_document(spark, sf_dir):
 TEXTS = ("본문\nCompliance Notice\nx", "Compliance Notice\n본문입니다 그리고 조금 더 길게 써 봅니다", "STOCK DATA 1\n\n이 문장은 충분히 길어서 지워지지 않고 남습니다\nPER\n\n" + "\n".join([_SHORT] * 7) + "\n\n끝 문장도 충분히 길어서 지워지지 않고 남습니다  ", " \n ")
 
 
-@query(f"""WITH src AS (SELECT text AS k, text FROM {values_sql(TEXTS, 't(text)')}), {clean_sql("text", R.CUT_MARKERS)} SELECT k AS text, cleaned FROM cleaned""")
+@query(f"""WITH src AS (SELECT conv_id * 100000 + turn AS k, {one_of_sql(TEXTS, "turn + conv_id")} || chr(10) || chr(10) || coalesce(text, '') AS text FROM conversations), {clean_sql("text", R.CUT_MARKERS)}
+SELECT k // 100000 AS conv_id, k % 100000 AS turn, cleaned FROM cleaned""")
 def clean_document_ko(spark, sf_dir):
-    return literals(spark, "text", TEXTS).select("text", X.clean_document(F.col("text")).alias("cleaned"))
+    """Entries of conversations, each behind a Korean passage that has to be cleaned."""
+    c = table(spark, sf_dir, "conversations")
+    text = F.concat(one_of(TEXTS, F.col("turn") + F.col("conv_id")), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    return c.select("conv_id", "turn", X.clean_document(text).alias("cleaned"))
 
 
 # ---- chunks -------------------------------------------------------------------------------------------------------
@@ -465,6 +496,19 @@ def chunk_recursive_stats(spark, sf_dir):
     return children.groupBy("doc_id").agg(F.count_distinct("parent_index").alias("n_parents"), F.count(F.lit(1)).alias("n_children"), F.max(F.length("child")).alias("longest"))
 
 
+@query()
+def chunk_udtf_stats(spark, sf_dir):
+    """chunk_recursive_stats in SQL alone, through the splitter as a table function."""
+    udtf.register(spark)
+    view = f"documents_{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").select("doc_id", "text").createOrReplaceTempView(view)
+    try:
+        return spark.sql(f"""SELECT p.doc_id, count(DISTINCT p.parent_index) AS n_parents, count(*) AS n_children, max(length(c.chunk)) AS longest
+FROM (SELECT doc_id, chunk_index AS parent_index, chunk AS parent FROM split_table(TABLE(SELECT doc_id, text FROM {view}), 'text', 2000, 200)) p, LATERAL split_text(p.parent, 500, 50) c GROUP BY p.doc_id""")
+    finally:
+        spark.catalog.dropTempView(view)
+
+
 # ---- retrieval ----------------------------------------------------------------------------------------------------
 
 K = 5
@@ -582,13 +626,20 @@ STATEMENTS = (
 )
 
 
-@query(f"SELECT statement, verdict FROM {values_sql(STATEMENTS, 't(statement, verdict)')}")
+def _counted(sql: str, n: int) -> str:
+    return f"(SELECT count(*) FROM ({sql}) s{n})"
+
+
+@query(f"WITH {REPORTS} " + " UNION ALL ".join(f"SELECT {quoted(s)} AS statement, {quoted(v)} AS verdict, {_counted(s, i) if v == 'accept' else '-1'}::BIGINT AS n_rows" for i, (s, v) in enumerate(STATEMENTS)))
 def guard_accept_reject(spark, sf_dir):
-    rows = []
+    """What the guard says of each statement, and how many rows of the reports those it accepts give."""
+    r, out = reports(spark, sf_dir), None
     for sql, _ in STATEMENTS:
-        r = sqlguard.check(spark, sql)
-        rows.append((sql, r.reason if r else "accept"))
-    return spark.createDataFrame(rows, "statement string, verdict string")
+        said = sqlguard.check(spark, sql)
+        rows = spark.range(1).select(F.lit(-1).cast("long").alias("n_rows")) if said else sqlguard.run(spark, sql, r).agg(F.count(F.lit(1)).alias("n_rows"))
+        one = rows.select(F.lit(sql).alias("statement"), F.lit(said.reason if said else "accept").alias("verdict"), "n_rows")
+        out = out.unionByName(one) if out is not None else one
+    return out
 
 
 PASSTHROUGH = {
@@ -666,9 +717,11 @@ def conversation_state(spark, sf_dir):
 ROUTES = (" RDB ", "stock_price", "foo", "vectordb", "", "Rdb\n")
 
 
-@query(f"SELECT r, CASE WHEN lower({strip_sql('r')}) IN ('rdb', 'vectordb', 'stock_price') THEN lower({strip_sql('r')}) ELSE 'vectordb' END AS route FROM {values_sql(ROUTES, 't(r)')}")
+@query(f"SELECT conv_id, turn, r, CASE WHEN lower({strip_sql('r')}) IN ('rdb', 'vectordb', 'stock_price') THEN lower({strip_sql('r')}) ELSE 'vectordb' END AS route FROM (SELECT conv_id, turn, replace({one_of_sql(ROUTES, 'turn + conv_id')}, 'foo', role) AS r FROM conversations)")
 def route_normalise(spark, sf_dir):
-    return literals(spark, "r", ROUTES).select("r", session.normal_route(F.col("r")).alias("route"))
+    c = table(spark, sf_dir, "conversations")
+    said = F.replace(one_of(ROUTES, F.col("turn") + F.col("conv_id")), F.lit("foo"), F.col("role"))
+    return c.select("conv_id", "turn", said.alias("r")).withColumn("route", session.normal_route(F.col("r")))
 
 
 @query("""WITH q AS (SELECT conv_id, text, CASE WHEN regexp_matches(lower(text), 'how many|list of|latest report|목록|개수|몇 개|몇 건|발간일|제목|최근 리포트') THEN 'rdb' ELSE 'vectordb' END AS route FROM conversations WHERE role = 'user')
@@ -679,12 +732,14 @@ def route_branches(spark, sf_dir):
     return catalog.unionByName(texts).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 
 
-FENCED = ("```sql\nSELECT 1\n```", "SELECT 2", " ```SELECT 3``` ")
+FENCED = ("```sql\n~\n```", "~", " ```~``` ")
 
 
-@query(f"SELECT s, {strip_sql("regexp_replace(s, '```(sql)?', '', 'g')")} AS sql FROM {values_sql(FENCED, 't(s)')}")
+@query(f"SELECT conv_id, turn, {strip_sql("regexp_replace(s, '```(sql)?', '', 'g')")} AS sql FROM (SELECT conv_id, turn, replace({one_of_sql(FENCED, 'turn + conv_id')}, '~', coalesce(text, '')) AS s FROM conversations)")
 def strip_fences(spark, sf_dir):
-    return literals(spark, "s", FENCED).select("s", X.without_fences(F.col("s")).alias("sql"))
+    c = table(spark, sf_dir, "conversations")
+    fenced = F.replace(one_of(FENCED, F.col("turn") + F.col("conv_id")), F.lit("~"), F.coalesce("text", F.lit("")))
+    return c.select("conv_id", "turn", X.without_fences(fenced).alias("sql"))
 
 
 @query("SELECT doc_id, '[질문]' || chr(10) || lang || ' / ' || source AS prompt, source || lang AS answer FROM documents")

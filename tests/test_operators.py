@@ -73,6 +73,13 @@ def test_registry_is_idempotent(spark, tmp_path):
     assert registry.by_dates(store.reports(), "2024-02-22", "2024-02-29").count() == 1
 
 
+def test_targets_fold_ascii_letters_alone(spark):
+    df = spark.createDataFrame([(t, "2024-01-01", t) for t in ("Éclair", "éclair", "ACME Co", "a%b", "a\\b", None)], "target_name string, report_date string, file_name string")
+    found = lambda text: {r.target_name for r in registry.by_target(df, text).collect()}
+    assert found("É") == {"Éclair"} and found("é") == {"éclair"} and found("CLAIR") == {"Éclair", "éclair"} and found("acme") == {"ACME Co"}
+    assert found("a%b") == {"a%b", "a\\b"} and found("a_b") == {"a%b", "a\\b"} and found("\\") == {"a\\b"} and found("zz") == set()
+
+
 def test_knn_is_exact(spark):
     r = np.random.default_rng(0)
     v = r.normal(size=(60, 8)).round(1)

@@ -50,22 +50,20 @@ def test_section_cut(spark):
     assert values(spark, X.cut_section, [t for t, _ in CUTS]) == [v for _, v in CUTS]
 
 
+#: What decides about a line, the first that holds: its name, and whether the line is noise then.
+VERDICTS = (("blank", False), ("fixed", True), ("row label", True), ("Korean", False), ("short", True), ("numeric", True), ("else", False))
+
+
 def plain_noise(line):
-    """The rules once more, over Python strings."""
-    s = line.strip()
-    korean = len(re.findall("[가-힣]", s))
-    tokens = s.split()
-    if not s:
-        return False
-    if any(p in s for p in R.DISCLAIMERS) or re.match("|".join(R.CAPTIONS), s, re.IGNORECASE) or s in R.LABELS:
-        return True
-    if len(s) < 35 and korean < 14 and re.search("|".join(R.ROW_LABELS), s):
-        return True
-    if korean >= 13:
-        return False
-    if len(s) < 20 and korean <= 6:
-        return True
-    return sum(bool(re.match("|".join(R.NUMERIC), t)) for t in tokens) >= 0.5 * len(tokens)
+    """Which conditions hold of a Python string; the table has the verdict of the first."""
+    s, n, tokens = line.strip(), len(re.findall("[가-힣]", line)), line.split()
+    numbers = [t for t in tokens if any(re.match(p, t) for p in R.NUMERIC)]
+    holds = {
+        "blank": s == "", "Korean": n > 12, "short": len(s) in range(20) and n < 7, "numeric": 2 * len(numbers) >= len(tokens), "else": True,
+        "fixed": s in R.LABELS or any(s.find(p) >= 0 for p in R.DISCLAIMERS) or any(re.match(p, s, re.I) for p in R.CAPTIONS),
+        "row label": any(re.search(p, s) for p in R.ROW_LABELS) and len(s) <= 34 and n <= 13,
+    }
+    return next(noise for name, noise in VERDICTS if holds[name])
 
 
 PIECES = st.sampled_from(["가나", "매출채권", "PER", "1,200", "3Q24", " ", "\t", "text", "자료:", "Source :", "표 1.", "　", " ", "é", "-", "NA", "2024.1", "기준일:", "LONGWORDHERE", "다라마바"])
