@@ -117,6 +117,8 @@ def identify(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFra
     ties to the first by code point; score is that proportion. A text that is null or has no letter gets und, score 0
     and no langs, and so does every text where nothing is labelled. A null doc_id counts as an empty text of an id.
     """
+    if clash := {"lang_pred", "score", "langs"} & set(columns):
+        raise ValueError(f"columns {sorted(clash)} would be there twice")
     names, table = train(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
     model = docs.sparkSession.sparkContext.broadcast((names, table))  # GRAMS floats a language
     wanted = docs.select(F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("rest"))

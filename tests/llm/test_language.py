@@ -1,10 +1,13 @@
 """Operator 4: held-out accuracy, mixtures and the edge cases."""
 
+import math
 import random
 import zlib
 
 import numpy as np
+import pytest
 
+from reportmill.llm.fuzzy_lines import line_dedup
 from reportmill.llm.langid import identify, mixtures
 
 SCHEMA = "doc_id long, text string, lang string, source string, _text string"
@@ -68,3 +71,53 @@ def test_expectation_maximisation_raises_the_likelihood():
     for k, s in enumerate(share):
         p = likely[200 * k : 200 * k + 200]
         assert np.log(p @ s).sum() >= np.log(p @ flat).sum() - 1e-3
+
+
+def test_columns_that_would_be_there_twice(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "x", 1)], "doc_id long, text string, lang string, lang_pred string, kept int")
+    with pytest.raises(ValueError, match="lang_pred"):
+        identify(docs, ("doc_id", "lang_pred"))
+    with pytest.raises(ValueError, match="kept"):
+        line_dedup(docs, columns=("doc_id", "kept"))
+    assert identify(docs).count() == 1  # other columns may have any names
+
+
+def plain_mixture(likely, steps=6, penalty=1.0):
+    """One document's EM and backward selection, word by word: shares by language."""
+    n, languages = len(likely), len(likely[0])
+
+    def fit(share):
+        for _ in range(steps):
+            total = [0.0] * languages
+            for word in likely:
+                q = [p * s for p, s in zip(word, share, strict=True)]
+                total = [t + x / max(sum(q), 1e-30) for t, x in zip(total, q, strict=True)]
+            share = [t / n for t in total]
+        return share, sum(math.log(max(sum(p * s for p, s in zip(word, share, strict=True)), 1e-30)) for word in likely)
+
+    share, value = fit([1 / languages] * languages)
+    while sum(s > 0 for s in share) > 1:
+        least = min((i for i, s in enumerate(share) if s > 0), key=lambda i: share[i])
+        less = [0 if i == least else s for i, s in enumerate(share)]
+        new, reached = fit([s / sum(less) for s in less])
+        if reached + penalty + math.log(n) < value:
+            break
+        share, value = new, reached
+    return share
+
+
+def test_mixtures_are_those_of_a_loop():
+    """Documents of one to forty words, together and alone; two languages that are the same leave in their order."""
+    r = np.random.default_rng(4)
+    sizes = np.array([1, 2, 5, 40, 17, 3])
+    likely = r.random((sizes.sum(), 4)).astype(np.float32) ** 4
+    likely[8:48, 1] = 1  # the document of forty words is of language 1
+    likely[:, 3] = likely[:, 2]
+    likely /= likely.max(axis=1, keepdims=True)
+    first = np.cumsum(sizes) - sizes
+    got = mixtures(likely, first, sizes)
+    for i, (lo, n) in enumerate(zip(first, sizes, strict=True)):
+        want = plain_mixture(likely[lo : lo + n].astype(float).tolist())
+        assert np.allclose(got[i], want, atol=2e-3)
+        assert np.allclose(got[i], mixtures(likely[lo : lo + n], np.array([0]), np.array([n]))[0], atol=1e-5)
+    assert got[3].argmax() == 1
