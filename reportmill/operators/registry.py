@@ -83,9 +83,9 @@ def mark_embedded(reports: DataFrame, done: DataFrame, key: str = "file_name") -
 
 
 def pending(reports: DataFrame, limit: int | None = None) -> DataFrame:
-    """Reports that are not embedded, the latest first; the first `limit`, or all for None or 0."""
-    out = reports.filter(~F.col("is_embedded")).orderBy(F.col("report_date").desc(), "file_name")
-    return out.limit(limit) if limit else out
+    """Reports that are not embedded: the latest `limit` in order, or all for None or 0, in no order that has to be paid for."""
+    out = reports.filter(~F.col("is_embedded"))
+    return out.orderBy(F.col("report_date").desc(), "file_name").limit(limit) if limit else out
 
 
 def unfinished(reports: DataFrame, done: DataFrame, key: str = "file_name") -> DataFrame:
