@@ -79,7 +79,7 @@ class Engine:
     def register(self, folder: str) -> tuple[int, int]:
         return self.registry.register(files.report_files(self.spark, folder).select("file_name"))
 
-    def ingest(self, folder: str, limit: int | None = None, extractor: files.Extractor = files.plain_pages, fallback: files.Extractor | None = None) -> DataFrame:
+    def ingest(self, folder: str, limit: int | None = None, extractor: files.Extractor | Model = files.plain_pages, fallback: files.Extractor | Model | None = None) -> DataFrame:
         """Extract, clean, split, embed and store what is registered and pending; status, n of the files.
 
         One distributed job over all files; a file that fails has an error and does not stop the others. Each file is

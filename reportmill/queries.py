@@ -18,7 +18,7 @@ from .functions import udtf
 from .operators import asof, chunk, listing, prices, registry, retrieve, rollup, session
 from .operators.vector_index import VectorIndex
 from .plans import sqlguard
-from .sources import store
+from .sources import files, store
 from .streaming import conversations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,6 +226,30 @@ def chunk_upsert_replace(spark, sf_dir):
     return registry.insert_or_replace(d, "k", "batch")
 
 
+@query("""WITH d AS (SELECT doc_id, doc_id // 4 AS file, n_chars FROM documents)
+SELECT doc_id, file, n_chars FROM d WHERE doc_id % 2 = 0 AND file % 3 <> 0 UNION ALL SELECT doc_id, file, -n_chars FROM d WHERE doc_id % 2 = 1 AND file % 3 = 0""")
+def store_replace(spark, sf_dir):
+    """A table by file after a second batch: the rows of every third file are replaced, those of others stay."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 4").alias("file"), "n_chars").withColumn("bucket", store.bucket_of(F.col("file"), 16))
+    path, schema = f"{store.shared_dir(spark)}/files-{uuid.uuid4().hex}", "doc_id long, file long, n_chars long, bucket int"
+    again = d.filter("file % 3 = 0").select("file")
+    for batch in (d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1 AND file % 3 = 0").withColumn("n_chars", -F.col("n_chars"))):
+        store.replace_rows(spark, path, schema, batch, batch.select("file").unionByName(again), "file", "bucket")
+    out = store.kept(store.read_table(spark, path, schema).drop("bucket"), "files")
+    store.remove(spark, path)
+    return out
+
+
+@query("SELECT count(*)::BIGINT AS n_rows, true AS has_files, true AS has_bytes FROM embeddings")
+def stored_files(spark, sf_dir):
+    """A stored table by its files' metadata alone, beside its rows."""
+    kept = store.kept(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "stored")
+    size = files.stored_size(spark, kept.kept_in).select((F.col("n_files") > 0).alias("has_files"), (F.col("n_bytes") > 0).alias("has_bytes"))
+    out = store.kept(kept.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(size), "size")  # one row each
+    store.remove(spark, kept.kept_in)
+    return out
+
+
 @query(f"WITH {REPORTS} SELECT CASE WHEN file_name IN (SELECT file_name FROM done) THEN 'success' ELSE 'failed' END AS status, count(*)::BIGINT AS n FROM reports GROUP BY 1")
 def ingest_status(spark, sf_dir):
     r = registry.mark_embedded(reports(spark, sf_dir), done(spark, sf_dir))
@@ -321,6 +345,12 @@ def crawl_counts(spark, sf_dir):
     return listing.crawl_count(listed(spark, sf_dir), done(spark, sf_dir))
 
 
+@query(f"WITH {LISTED}, s AS ({SINCE.format(target="DATE '2024-01-05'")}) SELECT category, pos, file_name FROM s WHERE file_name NOT IN (SELECT file_name FROM done)")
+def crawl_todo(spark, sf_dir):
+    """What a run fetches: the listed files since a date that aren't there yet."""
+    return registry.unfinished(listing.since(listed(spark, sf_dir), "2024-01-05"), done(spark, sf_dir)).select("category", "pos", "file_name")
+
+
 DAYS = ("yy.MM.dd", "yy.M.d", "yyyy.MM.dd", "yy-MM-dd", "yy.MM.'31'", "yy.'13'.dd")
 
 

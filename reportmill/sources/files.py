@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.model import Model
+
 #: From a file's bytes to the texts of its pages.
 Extractor = Callable[[bytes], list[str]]
 FILES = "path string, modificationTime timestamp, length long"
@@ -29,18 +31,20 @@ def plain_pages(content: bytes) -> list[str]:
     return content.decode("utf-8").split("\f")
 
 
-def extract_texts(spark: SparkSession, folder: str, primary: Extractor = plain_pages, fallback: Extractor | None = None, pattern: str = "*.[pP][dD][fF]", only: DataFrame | None = None) -> DataFrame:
+def extract_texts(spark: SparkSession, folder: str, primary: Extractor | Model = plain_pages, fallback: Extractor | Model | None = None, pattern: str = "*.[pP][dD][fF]", only: DataFrame | None = None) -> DataFrame:
     """file_name, text, error of each file: its pages, each followed by a blank line. only(file_name): no other files.
 
     The fallback is tried where the primary extractor fails and leaves nothing. A file that both fail on, or without
-    text, has an error instead of a text. Files go to Python one Arrow batch at a time.
+    text, has an error instead of a text. Files go to Python one Arrow batch at a time. An extractor that is costly to
+    start, such as a layout model, comes as a Model: each worker starts it once.
     """
 
     def text_of(content: bytes) -> tuple[str | None, str | None]:
         error = None
         for extractor in [primary, *([fallback] if fallback else [])]:
             try:
-                text = "".join(page + "\n\n" for page in extractor(content))
+                extract = extractor.running() if isinstance(extractor, Model) else extractor
+                text = "".join(page + "\n\n" for page in extract(content))
             except Exception as e:
                 error = f"{type(e).__name__}: {e}"
                 continue

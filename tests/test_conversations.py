@@ -160,6 +160,12 @@ def test_a_changed_file_replaces_its_text(spark, folder, tmp_path):
         assert os.stat(os.path.join(tmp_path, "out", "parents", kept)).st_mtime_ns == parts[kept]
     assert engine.parents().count() == before and engine.index.rows().count() == size
     assert "container ships" in engine.ask("orders of container ships").prompt
+    starts = str(tmp_path / "starts")
+    os.mkdir(starts)
+    layout = Model("layout", counting(starts, lambda content: content.decode().split("\f")))
+    engine.registry.reset()
+    assert {r.status: r.n for r in engine.ingest(str(folder), extractor=layout).collect()} == {"success": 4, "failed": 1, "missing": 1}
+    assert 1 <= len(os.listdir(starts)) == len({s.split("-")[1] for s in os.listdir(starts)})
     engine.reset()
     assert engine.parents().count() == 0 and engine.ask("x").text.startswith("죄송합니다")
 
