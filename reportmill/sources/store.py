@@ -26,17 +26,17 @@ def bucket_of(key: Column, n: int = 64) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
-def replace_rows(spark: SparkSession, path: str, schema: str, batch: DataFrame, owners: DataFrame, key: str, partition: str) -> list[int]:
+def replace_rows(spark: SparkSession, path: str, schema: str, batch: DataFrame, owners: DataFrame | None, key: str, partition: str) -> list[int]:
     """Put the rows of batch in place of all that the table has for the keys of owners(key); the partitions rewritten.
 
     The table is partitioned by a column of whole numbers. Only partitions that hold such a key or get a row are written
     again, by dynamic partition overwrite; files of all others stay as they are. Keys in owners without a row in batch
-    lose their rows. The batch is computed once. A repeated call with the same rows changes nothing but file names.
+    lose their rows; without owners, the keys are those of the batch. The batch is computed once. A repeated call with the same rows changes nothing but file names.
 
     Not atomic over partitions: after a failure, calling again completes it.
     """
     staged = kept(batch, "staged")
-    old, keys = read_table(spark, path, schema), owners.select(key).distinct()
+    old, keys = read_table(spark, path, schema), (staged if owners is None else owners).select(key).distinct()
     number = lambda df: {r[0] for r in df.select(partition).distinct().collect()}  # noqa: E731  at most one a partition
     fresh = number(staged)
     touched = sorted(fresh | number(old.join(keys, key, "left_semi")))

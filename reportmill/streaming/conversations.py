@@ -18,11 +18,10 @@ STORED = STATE + ", bucket int"
 _HELD = "n long, seqs array<long>, roles array<string>, texts array<string>"
 
 
-def last_of(frames: list[pd.DataFrame], n: int) -> pd.DataFrame:
-    """The n rows of the highest seq, ties by role and text."""
-    rows = pd.concat(frames)
-    rows = rows.sort_values(["seq", "role", "text"], na_position="first", kind="stable")
-    return rows.tail(n)
+def place(entry: tuple) -> tuple:
+    """Entries go by seq, those of one seq by role and text, nulls first."""
+    seq, role, text = entry
+    return seq, role is not None, role or "", text is not None, text or ""
 
 
 def combined(n: int):
@@ -47,15 +46,15 @@ def conversation_states(entries: DataFrame, n: int = 3) -> DataFrame:
     last seq and the text of its last n entries. Entries may come in any order; those without thread or seq don't count."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, seqs, roles, texts = state.get if state.exists else (0, [], [], [])
-        held = pd.DataFrame({"seq": list(seqs), "role": list(roles), "text": list(texts)})
+        total, *held = state.get if state.exists else (0, [], [], [])
+        held = list(zip(*held, strict=True))
         for frame in frames:
-            total += int(frame["n"].sum())
-            held = last_of([held, frame[["seq", "role", "text"]]] if len(held) else [frame[["seq", "role", "text"]]], n)
-        held = held.astype(object).where(held.notna(), None)
-        state.update((total, [int(s) for s in held["seq"]], held["role"].tolist(), held["text"].tolist()))
-        last = int(held["seq"].iloc[-1])
-        yield pd.DataFrame({"thread_id": [key[0]], "n_entries": [total], "last_seq": [last], "history": [text_of_entries(held["role"], held["text"])]})
+            seqs, roles, texts, counts = (frame[c].astype(object).where(frame[c].notna(), None).tolist() for c in ("seq", "role", "text", "n"))
+            total += sum(counts)
+            held = sorted([*held, *zip(map(int, seqs), roles, texts, strict=True)], key=place)[-n:]
+        seqs, roles, texts = map(list, zip(*held, strict=True))
+        state.update((total, seqs, roles, texts))
+        yield pd.DataFrame({"thread_id": [key[0]], "n_entries": [total], "last_seq": [seqs[-1]], "history": [text_of_entries(roles, texts)]})
 
     few = entries.select("thread_id", "seq", "role", "text").mapInPandas(combined(n), ENTRIES + ", n long")
     return few.groupBy("thread_id").applyInPandasWithState(update, STATE, _HELD, "update", GroupStateTimeout.NoTimeout)
@@ -71,7 +70,7 @@ def keep_conversations(entries: DataFrame, path: str, checkpoint: str, n: int =
 
     def store(batch: DataFrame, _: int) -> None:
         rows = batch.withColumn("bucket", bucket_of(batch["thread_id"], buckets))
-        replace_rows(spark, path, STORED, rows, rows, "thread_id", "bucket")
+        replace_rows(spark, path, STORED, rows, None, "thread_id", "bucket")
 
     states = conversation_states(entries, n)
     return states.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
