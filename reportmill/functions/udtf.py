@@ -28,7 +28,7 @@ class SplitText:
 
 @udtf
 class SplitTable:
-    """The table's columns and a row for each chunk of the column that is named. The table may be partitioned, or not."""
+    """The table's other columns and a row for each chunk of the column that is named. The table may be partitioned, or not."""
 
     @staticmethod
     def analyze(rows: AnalyzeArgument, column: AnalyzeArgument, size: AnalyzeArgument, overlap: AnalyzeArgument) -> AnalyzeResult:
@@ -36,12 +36,13 @@ class SplitTable:
             raise ValueError(f"the table has no column {column.value}")
         if clash := {"chunk_index", "chunk"} & set(rows.dataType.fieldNames()):
             raise ValueError(f"the table has {sorted(clash)} already")
-        return AnalyzeResult(StructType([*rows.dataType.fields]).add("chunk_index", IntegerType()).add("chunk", StringType()))
+        return AnalyzeResult(StructType([f for f in rows.dataType.fields if f.name != column.value]).add("chunk_index", IntegerType()).add("chunk", StringType()))
 
     def eval(self, rows: Row, column: str, size: int, overlap: int) -> Iterator[tuple]:
         text = rows[column]
+        others = [rows[c] for c in rows.__fields__ if c != column]
         for i, chunk in enumerate(split_recursively(text, size, overlap) if text else ()):
-            yield (*rows, i, chunk)
+            yield (*others, i, chunk)
 
 
 def register(spark: SparkSession) -> None:

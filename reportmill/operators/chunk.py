@@ -98,19 +98,22 @@ def _pieces(text: str, size: int, separators: tuple[str, ...]) -> list[str]:
 
 
 def recursive_chunks(df: DataFrame, text: str, size: int, overlap: int, index: str = "chunk_index", out: str = "chunk") -> DataFrame:
-    """df with a row for each chunk of its text column, numbered from 0. Arrow batches go to Python once."""
-    columns = df.columns
+    """The other columns of df with a row for each chunk of its text column, numbered from 0.
+
+    Arrow batches go to Python once; the text itself doesn't come back with every chunk of it.
+    """
+    columns = [c for c in df.columns if c != text]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = [split_recursively(t, size, overlap) if t else [] for t in batch[text]]
-            rows = batch.loc[batch.index.repeat([len(p) for p in parts])].copy()
+            rows = batch.loc[batch.index.repeat([len(p) for p in parts]), columns].copy()
             rows[index] = [i for p in parts for i in range(len(p))]
             rows[out] = [c for p in parts for c in p]
             yield rows[[*columns, index, out]]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{schema}, {index} int, {out} string")
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text]
+    return df.mapInPandas(run, ", ".join([*schema, f"{index} int, {out} string"]))
 
 
 def chunk_id(*parts: Column) -> Column:
@@ -129,7 +132,7 @@ def chunk_reports(sections: DataFrame, settings: Settings = Settings()) -> tuple
     sections = sections.withColumn("broker", F.coalesce("broker", F.lit(UNKNOWN_BROKER)))
     keep = (*meta, "section", "h1", "h2", "h3")
     size = s.parent_size if s.parent_child else s.flat_size
-    first = recursive_chunks(sections.select(*keep, "content"), "content", size, int(size * s.overlap), "part", "piece").drop("content")
+    first = recursive_chunks(sections.select(*keep, "content"), "content", size, int(size * s.overlap), "part", "piece")
     order = F.struct("section", "part")
     nth = F.row_number().over(Window.partitionBy("file_name").orderBy(order)) - 1
     if not s.parent_child:

@@ -521,7 +521,7 @@ QUERIES["chunk_context_prefix_all"], SQL["chunk_context_prefix_all"] = QUERIES["
 def chunk_recursive_stats(spark, sf_dir):
     """Parents and children of all documents: how many, and how long."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    parents = chunk.recursive_chunks(d, "text", 2000, 200, "parent_index", "parent").drop("text")
+    parents = chunk.recursive_chunks(d, "text", 2000, 200, "parent_index", "parent")
     children = chunk.recursive_chunks(parents, "parent", 500, 50, "child_index", "child")
     return children.groupBy("doc_id").agg(F.count_distinct("parent_index").alias("n_parents"), F.count(F.lit(1)).alias("n_children"), F.max(F.length("child")).alias("longest"))
 

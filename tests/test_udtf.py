@@ -25,7 +25,7 @@ def test_table_functions_are_the_splitter(spark, docs):
     assert sorted(map(tuple, spark.sql("SELECT d.doc_id, c.* FROM udtf_docs d, LATERAL split_text(d.text, 200, 20) c").collect())) == want
     for partitioned in ("", " PARTITION BY (source)"):
         out = spark.sql(f"SELECT * FROM split_table(TABLE(udtf_docs){partitioned}, 'text', 200, 20)")
-        assert out.columns == ["doc_id", "text", "source", "chunk_index", "chunk"]
+        assert out.columns == ["doc_id", "source", "chunk_index", "chunk"]
         assert sorted(map(tuple, out.select("doc_id", "chunk_index", "chunk").collect())) == want
     for bad in ("'none', 200, 20", "'chunk', 200, 20"):
         with pytest.raises(Exception, match="no column"):
