@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 from .common import slices, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long"
 #: Texts that may be treated differently by two implementations of one vocabulary go to the slower one.
 PLAIN = re.compile(r"[\x00-ɏ]*")
 _kept: dict = {}
@@ -136,14 +136,13 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, size: int =
     ranked = hashed.withColumn("rank", F.row_number().over(inside)).join(sums, ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "ids", (F.col("rank") - 1 + F.col("before")).alias("rank"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = plan.value
-        key = table[:, 0] << 44 | table[:, 1]
-        for batch in batches:
-            length, rank = batch.column(3).to_numpy(), batch.column(6).to_numpy()
-            at = table[np.searchsorted(key, length << 44 | rank, "right") - 1] if len(table) else np.zeros((len(rank), 5), np.int64)
-            number, place = (rank - at[:, 1]) // at[:, 2], (rank - at[:, 1]) % at[:, 2]
-            columns = [*batch.columns[:6], pa.array(at[:, 3] + number), pa.array(at[:, 4] + place * length)]
-            yield pa.record_batch(columns, [*batch.schema.names[:6], "sequence_id", "offset"])
-
-    return ranked.mapInArrow(run, PLACED)
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        """Only lengths and ranks go to Python; ids stay where they are."""
+        table, length, rank = plan.value, length.to_numpy(np.int64), rank.to_numpy(np.int64)
+        at = table[np.searchsorted(table[:, 0] << 44 | table[:, 1], length << 44 | rank, "right") - 1] if len(table) else np.zeros((len(rank), 5), np.int64)
+        number, nth = (rank - at[:, 1]) // at[:, 2], (rank - at[:, 1]) % at[:, 2]
+        return pd.DataFrame({"sequence_id": at[:, 3] + number, "offset": at[:, 4] + nth * length})
+
+    placed = ranked.withColumn("_p", place("length", "rank"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "ids", "_p.sequence_id", "_p.offset")
