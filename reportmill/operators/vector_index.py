@@ -8,7 +8,6 @@ those that this bound does not rule out.
 from __future__ import annotations
 
 import math
-from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -38,22 +37,35 @@ class VectorIndex:
         self.spark, self.path = spark, path.rstrip("/")
         self.id, self.owner, self.vector = id, owner, vector
         self.schema = f"{schema}, distance double, cluster int"
+        self._centroids = np.zeros((0, 0))
 
     def drop(self) -> None:
         """Remove all of it."""
         for path in (self.path, f"{self.path}_centroids", f"{self.path}_radii"):
             remove(self.spark, path)
-        self.__dict__.pop("centroids", None)
+        self._centroids = np.zeros((0, 0))
+
+    def rebuild(self, clusters: int | None = None) -> None:
+        """Choose the centroids anew, for the vectors that there are by now, and deal all rows out to them."""
+        rows = self.rows().drop("distance", "cluster")
+        held = kept(rows, "rows")
+        self.drop()
+        self.fit(held, clusters)
+        self.put(held)
+        remove(self.spark, held.kept_in)
 
     def rows(self, clusters: list[int] | None = None) -> DataFrame:
         """All rows, or those of some clusters: only their partitions are read."""
         out = read_table(self.spark, self.path, self.schema)
         return out if clusters is None else out.filter(F.col("cluster").isin(clusters))
 
-    @cached_property
+    @property
     def centroids(self) -> np.ndarray:
-        held = read_table(self.spark, f"{self.path}_centroids", "cluster int, centroid array<double>").orderBy("cluster").collect()  # bounded by NUMBERS
-        return np.array([r.centroid for r in held], float)
+        """Read once there are any; they stay as they are until a rebuild."""
+        if not len(self._centroids):
+            held = read_table(self.spark, f"{self.path}_centroids", "cluster int, centroid array<double>").orderBy("cluster").collect()  # bounded by NUMBERS
+            self._centroids = np.array([r.centroid for r in held], float)
+        return self._centroids
 
     def fit(self, rows: DataFrame, clusters: int | None = None) -> None:
         """Choose the centroids, once: `clusters` of them, or the square root of the number of rows, from a sample."""
@@ -69,7 +81,7 @@ class VectorIndex:
             centres = KMeans(k=k, seed=1, maxIter=10, featuresCol="features").fit(sample.select(array_to_vector("v").alias("features"))).clusterCenters()
         found = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
         self.spark.createDataFrame(found, "cluster int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self.path}_centroids")
-        self.__dict__.pop("centroids", None)
+        self._centroids = np.zeros((0, 0))
 
     def put(self, rows: DataFrame, owners: DataFrame | None = None) -> list[int]:
         """Rows in place of all that their owners have here; the clusters rewritten. The first call fits the centroids.

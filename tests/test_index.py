@@ -91,6 +91,19 @@ def test_batches_go_to_their_clusters(spark, vectors, tmp_path):
     assert untouched and untouched.items() <= files(str(tmp_path / "rows")).items()
 
 
+def test_rebuilt_for_what_has_grown(spark, vectors, tmp_path):
+    df = spark.createDataFrame(vectors, IDS)
+    index, other = VectorIndex(spark, str(tmp_path / "rows"), IDS), VectorIndex(spark, str(tmp_path / "rows"), IDS)
+    asked = df.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    assert found(other, asked, 3) == []
+    index.put(df.filter("chunk_id < 9"))
+    index.put(df.filter("chunk_id >= 9 AND file_name <> 'f1'"), df.filter("chunk_id >= 9").select("file_name"))
+    want = scan(index.rows().select("chunk_id", "embedding"), asked, 3)
+    assert len(index.centroids) == 3 and found(other, asked, 3) == want
+    index.rebuild(20)
+    assert len(index.centroids) == 20 and found(index, asked, 3) == want
+
+
 def test_bounds_hold_under_rounding():
     r = np.random.default_rng(1)
     v, c = 1e4 + r.normal(size=(50, 32)), 1e4 + r.normal(size=(9, 32))
