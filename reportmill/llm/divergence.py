@@ -92,14 +92,14 @@ def source_divergence(docs: DataFrame, least_docs: int = 3, top_terms: int = 200
 
     shares = F.transform(F.arrays_zip("n", "totals"), lambda x: share(x["n"] + 1, x["totals"] + F.col("v")))
     per_vector = with_totals(same, totals).select("lang", "terms", shares.alias("p"))
-    # floor((p - q)**2 / q) is floor(p * p / q) - 2 * p + q: a source's row emits the first for each other source, the
-    # rest are sums of a source alone
+    # floor((p - q)**2 / q) is floor(p * p / q) - 2 * p + q: a source's row emits the first for each source, which for itself
+    # is p
     rows = per_vector.select("lang", "terms", "p", F.posexplode("p").alias("i", "own"))
     squares = rows.withColumn("own", F.col("own") * F.col("own"))
     pairs = squares.select("lang", "i", "terms", F.posexplode(F.transform("p", lambda q: whole(F.col("own"), q))).alias("j", "f"))
-    sums = pairs.groupBy("lang", "i", "j").agg(F.sum(F.col("f") * F.col("terms")).alias("f"))
-    alone = rows.groupBy("lang", "i").agg(F.sum(F.col("own") * F.col("terms")).alias("p"))
-    sums = sums.filter("i <> j").join(alone, ["lang", "i"]).join(alone.select("lang", F.col("i").alias("j"), F.col("p").alias("q")), ["lang", "j"])
+    pair_sums = written(pairs.groupBy("lang", "i", "j").agg(F.sum(F.col("f") * F.col("terms")).alias("f")), "pair-sums")
+    alone = pair_sums.filter("i = j").select("lang", "i", F.col("f").alias("p"))
+    sums = pair_sums.filter("i <> j").join(alone, ["lang", "i"]).join(alone.select("lang", F.col("i").alias("j"), F.col("p").alias("q")), ["lang", "j"])
     sums = sums.select("lang", "i", "j", (F.col("f") - 2 * F.col("p") + F.col("q")).alias("value"))
     other = groups.select("lang", F.col("source").alias("item"), F.col("i").alias("j"))
     pair = groups.select("lang", "source", "i").join(other, "lang").filter("i <> j").join(sums, ["lang", "i", "j"], "left")
@@ -113,7 +113,7 @@ def source_divergence(docs: DataFrame, least_docs: int = 3, top_terms: int = 200
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     ranked = lambda part: part.withColumn("rank", F.row_number().over(order))
     out = written(ranked(pair).unionByName(ranked(term).filter(F.col("rank") <= top_terms)), "divergences")
-    forget(counts, groups, wide, same)
+    forget(counts, groups, wide, same, pair_sums)
     return out
 
 
