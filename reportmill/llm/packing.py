@@ -2,7 +2,8 @@
 
 Only counts per length reach the driver: at most one number per length up to the sequence length. Best-fit decreasing
 runs over these counts and gives groups of equal sequences. Documents then take the planned slots by their rank within
-their length, which is found without a global sort: a rank within (length, hash bucket) plus the counts before it.
+their length, which is found without a sort: the number within a task's pieces of that length plus the counts of the tasks
+before it. Pieces and their ids are written once and not shuffled.
 """
 
 from __future__ import annotations
@@ -15,12 +16,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, written
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, task int, nth long"
+#: Counts by length and task are sent to all tasks up to so many rows, some 24 MB; beyond that they are joined by a shuffle.
+SENT = 1 << 20
 #: Texts that may be treated differently by two implementations of one vocabulary go to the slower one.
 PLAIN = re.compile(r"[\x00-ɏ]*")
 _kept: dict = {}
@@ -59,7 +63,7 @@ def encoder(tokenizer: str, ranks: str | None):
 
 def token_pieces(docs: DataFrame, size: int, tokenizer: str, ranks: str | None, end: int, ids: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, ranks)
+        encode, task, used = encoder(tokenizer, ranks), TaskContext.get().partitionId(), [0] * (size + 1)
         for batch in slices(batches, 1):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -68,10 +72,11 @@ def token_pieces(docs: DataFrame, size: int, tokenizer: str, ranks: str | None,
                 while at < len(tokens):
                     n = (len(tokens) % size or size) if at == 0 else size
                     data = tokens[at : at + n].tobytes()
-                    rows.append((doc_id, piece, at, n, zlib.crc32(data), data if ids else None))
+                    rows.append((doc_id, piece, at, n, zlib.crc32(data), data if ids else None, task, used[n]))
+                    used[n] += 1
                     at, piece = at + n, piece + 1
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "task", "nth"]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
@@ -117,7 +122,7 @@ def slots(groups: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, size: int = 2048, end: int = 0, ids: bool = True, per_bucket: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, size: int = 2048, end: int = 0, ids: bool = True) -> DataFrame:
     """The pieces of docs(doc_id, text) with their sequence_id and offset there.
 
     A document is its ids and then `end`; a null or empty text is `end` alone. Documents longer than `size` are cut into
@@ -125,16 +130,14 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, size: int =
     ids=False. Repeated rows and rows without doc_id are packed like any other; an empty table gives an empty result.
     """
     pieces = written(token_pieces(docs, size, tokenizer, ranks, end, ids), "pieces")
-    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows
-    plan = pieces.sparkSession.sparkContext.broadcast(slots(best_fit(counts, size)))  # grows with `size` alone, not with the rows
-    buckets = 1 + sum(counts.values()) // per_bucket * 4
-    hashed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    sums = hashed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = hashed.withColumn("rank", F.row_number().over(inside)).join(sums, ["length", "bucket"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "ids", (F.col("rank") - 1 + F.col("before")).alias("rank"))
+    sums = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
+    found = sums.groupBy("length").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("tasks")).collect()  # at most `size` rows
+    plan = pieces.sparkSession.sparkContext.broadcast(slots(best_fit({r.length: r.n for r in found}, size)))  # grows with `size` alone, not with the rows
+    # a piece's rank within its length: its number within its task, and the pieces of the tasks before; no piece moves
+    upto = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")
+    before = F.broadcast(before) if sum(r.tasks for r in found) <= SENT else before
+    ranked = pieces.join(before, ["length", "task"]).withColumn("rank", F.col("nth") + F.col("before"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:

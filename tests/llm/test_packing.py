@@ -6,8 +6,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
+from reportmill.llm import packing
 from reportmill.llm.packing import best_fit, encoder, pack, slots
 
 SCHEMA = "doc_id long, text string, rank string, bucket string"
@@ -53,13 +55,15 @@ def test_both_encoders_agree():
         assert list(fast(text)) == slow.encode(text, add_special_tokens=False).ids
 
 
-def test_documents(spark):
+@pytest.mark.parametrize("sent", [packing.SENT, 0])
+def test_documents(spark, monkeypatch, sent):
     r = random.Random(4)
     words = ["the", "schön", "año", "naïve", "\n", "x1", "..", "漢"]
     rows = [(i, " ".join(r.choice(words) for _ in range(r.choice([0, 1, 7, 40, 900])))) for i in range(120)]
     rows += [(500, None), (501, ""), (502, "word " * 4096), (503, "word " * 9000), (7, rows[7][1]), (None, "no id")]
     df = spark.createDataFrame([(*x, "a", "b") for x in rows], SCHEMA).repartition(3)
-    got = pack(df, JSON, RANKS, per_bucket=10).collect()
+    monkeypatch.setattr(packing, "SENT", sent)
+    got = pack(df, JSON, RANKS).collect()
     slow = Tokenizer.from_file(JSON)
     want, lengths = Counter(), []
     for i, text in rows:
