@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reportmill.functions import text as X
+from reportmill.operators import registry
 
 
 def seconds(df):
@@ -42,3 +43,19 @@ def test_any_of_is_anchored_only_where_each_is(spark, patterns, anchored):
     plain = "(?i)" + "|".join(f"(?:{p})" for p in patterns)
     df = spark.createDataFrame([(x,) for x in ("a:", "A |", "b", "xb", "y", " (x", "(x", "c", "xc", "")], "t string")
     assert df.filter(F.col("t").rlike(plain) != F.col("t").rlike(X.any_of(patterns, "(?i)"))).count() == 0
+
+
+def plain_name(title):
+    t = F.translate(plain_strip(F.regexp_replace(title, r'[\\/:*?"<>|]', "")), "_", "-")
+    return F.concat(F.concat_ws("_", F.lit("a_2024-01-01_b_c"), F.when(F.length(t) > 50, F.concat(t.substr(1, 50), F.lit("..."))).otherwise(t)), F.lit(".pdf"))
+
+
+def test_names_of_long_titles_are_cheap(spark):
+    name = registry.build_file_name(F.lit("a"), F.lit("2024-01-01"), F.lit("b"), F.lit("c"), F.col("t"))
+    titles = [x + "w_?" * n + y for x in ("", " " * 300, "?" * 210 + " ") for n in (0, 24, 25, 26, 66, 67, 100) for y in ("", " " * 400, " " * 400 + "end", "😀" * 60)]
+    odd = spark.createDataFrame([(t,) for t in titles] + [(None,)], "t string")
+    assert odd.filter(~name.eqNullSafe(plain_name(F.col("t")))).count() == 0
+    long = spark.range(40).select(F.repeat(F.lit("some words "), 20_000).alias("t")).cache()
+    long.count()
+    seconds(long.select(name))
+    assert 3 * seconds(long.select(name)) < seconds(long.select(plain_name(F.col("t"))))
