@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reportmill.functions import text as X
 from reportmill.operators import registry
+from reportmill.plans import sqlguard
 
 
 def seconds(df):
@@ -59,3 +60,15 @@ def test_names_of_long_titles_are_cheap(spark):
     long.count()
     seconds(long.select(name))
     assert 3 * seconds(long.select(name)) < seconds(long.select(plain_name(F.col("t"))))
+
+
+def test_a_join_by_one_value_is_cut(spark, monkeypatch):
+    monkeypatch.setitem(sqlguard.PIECES, "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "4k")
+    monkeypatch.setitem(sqlguard.PIECES, "spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    monkeypatch.setitem(sqlguard.PIECES, "spark.sql.autoBroadcastJoinThreshold", "-1")
+    r = spark.range(0, 1200, 1, 12).select(F.sha2(F.col("id").cast("string"), 256).alias("file_name"), F.lit("b").alias("broker"))
+    before = spark.conf.getAll
+    out = sqlguard.run(spark, "SELECT a.file_name, b.file_name AS other FROM reports a JOIN reports b ON a.broker = b.broker AND a.file_name < b.file_name", r)
+    sizes = out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 1200 * 1199 // 2 and max(sizes) < sum(sizes) / 8
+    assert spark.conf.getAll == before and "reports" not in [t.name for t in spark.catalog.listTables()]
