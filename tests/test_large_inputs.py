@@ -1,12 +1,15 @@
 """What keeps large tables within time and memory: the same results by less work."""
 
 import time
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from reportmill.functions import text as X
-from reportmill.operators import registry
+from reportmill.operators import registry, retrieve
 from reportmill.plans import sqlguard
 
 
@@ -72,3 +75,24 @@ def test_a_join_by_one_value_is_cut(spark, monkeypatch):
     sizes = out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert sum(sizes) == 1200 * 1199 // 2 and max(sizes) < sum(sizes) / 8
     assert spark.conf.getAll == before and "reports" not in [t.name for t in spark.catalog.listTables()]
+
+
+def test_search_holds_few_distances():
+    rng = np.random.default_rng(1)
+    q, v = rng.random((600, 8)), rng.random((40_000, 8))
+    v[1000:3000] = v[0]  # many equal vectors
+    q[0] = v[0]
+    side = lambda name, x, keys: pa.table({name: pa.array(keys), "v": pa.array(list(x), pa.list_(pa.float64()))})
+    keys = np.arange(len(v))[::-1]
+    queries, chunks = side("q", q, np.arange(len(q))), side("c", v, keys)
+    tracemalloc.start()
+    found = retrieve.nearest(5, "q", "c")(queries, chunks).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    rows = list(zip(found["q"], found["c"], found["score"], strict=True))
+    for i in (0, 1, 599):
+        d = ((v - q[i]) ** 2).sum(axis=1)
+        want = [int(keys[j]) for j in np.lexsort((keys, np.round(d, 6)))[:5]]
+        assert [c for _, c, _ in sorted((r for r in rows if r[0] == i), key=lambda r: (round(r[2], 6), r[1]))][:5] == want
+    assert len([r for r in rows if r[0] == 0 and r[2] == 0]) == 5
