@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
+#: Texts whose chunks a worker holds at once.
+ROWS = 256
 UNKNOWN_BROKER = "알수없음"
 
 
@@ -102,18 +105,25 @@ def recursive_chunks(df: DataFrame, text: str, size: int, overlap: int, index: s
 
     Arrow batches go to Python once; the text itself doesn't come back with every chunk of it.
     """
-    columns = [c for c in df.columns if c != text]
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text]
+    return df.mapInArrow(chunks_of_batches(text, size, overlap, index, out), ", ".join([*schema, f"{index} int, {out} string"]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = [split_recursively(t, size, overlap) if t else [] for t in batch[text]]
-            rows = batch.loc[batch.index.repeat([len(p) for p in parts]), columns].copy()
-            rows[index] = [i for p in parts for i in range(len(p))]
-            rows[out] = [c for p in parts for c in p]
-            yield rows[[*columns, index, out]]
 
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text]
-    return df.mapInPandas(run, ", ".join([*schema, f"{index} int, {out} string"]))
+def chunks_of_batches(text: str, size: int, overlap: int, index: str, out: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """recursive_chunks in a worker, which holds the chunks of ROWS texts at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c for c in batch.schema.names if c != text]
+            for lo in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(lo, ROWS)
+                texts = rows.column(text)
+                parts = [split_recursively(t, size, overlap) if t else [] for t in texts.to_pylist()]
+                at = pa.array([i for i, p in enumerate(parts) for _ in p], pa.int64())
+                numbers, found = pa.array([i for p in parts for i in range(len(p))], pa.int32()), pa.array([c for p in parts for c in p], texts.type)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c).take(at) for c in columns), numbers, found], names=[*columns, index, out])
+
+    return run
 
 
 def chunk_id(*parts: Column) -> Column:

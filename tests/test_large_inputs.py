@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reportmill.functions import text as X
-from reportmill.operators import registry, retrieve
+from reportmill.operators import chunk, registry, retrieve
 from reportmill.plans import sqlguard
 
 
@@ -96,3 +96,12 @@ def test_search_holds_few_distances():
         want = [int(keys[j]) for j in np.lexsort((keys, np.round(d, 6)))[:5]]
         assert [c for _, c, _ in sorted((r for r in rows if r[0] == i), key=lambda r: (round(r[2], 6), r[1]))][:5] == want
     assert len([r for r in rows if r[0] == 0 and r[2] == 0]) == 5
+
+
+def test_chunks_of_few_texts_at_once():
+    batch = pa.record_batch({"doc_id": pa.array(range(1000)), "text": pa.array([None if i % 9 == 0 else f"word {i} " * 60 for i in range(1000)])})
+    out = list(chunk.chunks_of_batches("text", 100, 10, "n", "chunk")(iter([batch])))
+    assert len(out) == 4 and max(len(set(b.column("doc_id").to_pylist())) for b in out) <= chunk.ROWS
+    got = pa.Table.from_batches(out).to_pydict()
+    want = [(i, n, c) for i, t in zip(*batch.to_pydict().values(), strict=True) for n, c in enumerate(chunk.split_recursively(t, 100, 10) if t else [])]
+    assert list(zip(got["doc_id"], got["n"], got["chunk"], strict=True)) == want
