@@ -7,6 +7,7 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from reportmill.llm import common, components, fuzzy_lines
 from reportmill.llm.fuzzy_lines import line_dedup
 
@@ -14,7 +15,8 @@ from reportmill.llm.fuzzy_lines import line_dedup
 def shuffles(spark):
     manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     files = manager.getAllFiles()
-    return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+    files = [files.apply(k) for k in range(files.size())]
+    return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_")}
 
 
 def test_shuffles_of_a_written_table_are_removed(spark):
@@ -23,7 +25,7 @@ def test_shuffles_of_a_written_table_are_removed(spark):
     before = shuffles(spark)
     out = common.written(kept.join(spark.range(9).toDF("k"), "k").groupBy("k").agg(F.max("count").alias("n")), "shuffled")
     for _ in range(100):
-        if not (left := shuffles(spark) - before):
+        if not (left := shuffles(spark).keys() - before.keys()):
             break
         time.sleep(0.1)
     assert not left
@@ -96,3 +98,17 @@ def test_no_table_stays_but_what_the_result_reads(spark):
     out = line_dedup(documents(spark))
     assert {p.name.rsplit("-", 1)[0] for p in set(path.iterdir()) - before} <= {"gone", "links", "components"}
     assert out.count() == 100
+
+
+def test_a_stage_of_the_pipeline_leaves_no_texts_in_shuffles(spark):
+    docs = documents(spark).select("doc_id", "text", F.lit("en").alias("lang"), F.lit("src0").alias("source"))
+    docs = common.written(corpus_pipeline.documents(docs), "documents")
+    before, size = shuffles(spark), docs.agg(F.sum("n_chars")).first()[0]
+    out = common.written(corpus_pipeline.dedup_lines(spark, docs, ""), "line_dedup")
+    for _ in range(100):
+        left = sum(n for name, n in shuffles(spark).items() if name not in before)
+        if left < size / 4:
+            break
+        time.sleep(0.1)
+    assert left < size / 4  # counts and the like
+    assert 0 < out.count() < 100
